@@ -57,7 +57,8 @@ def html_to_text(page: str, links: list | None = None) -> str:
     page = _HIDDEN.sub(" ", page)
     if links is not None:
         links.extend((m[0], html.unescape(_TAG.sub("", m[1]))) for m in _LINK.findall(page))
-    return html.unescape(_TAG.sub("", _BREAK.sub("\n", page)))
+    # source line ends are white space; only block tags break lines
+    return html.unescape(_TAG.sub("", _BREAK.sub("\n", page.replace("\n", " "))))
 
 
 def _split(message: str) -> tuple[str, str]:
