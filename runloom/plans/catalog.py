@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.plans import nested
+from runloom.plans import nested, ranking
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested,)
-FLAGSHIP: Query = nested.p5_found
+MODULES = (nested, ranking)
+FLAGSHIP: Query = ranking.QUERIES["auroc_within_group"][0]
 
 
 def queries() -> dict[str, Query]:
