@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.plans import nested, ranking
+from runloom.plans import nested, ranking, resampling
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested, ranking)
+MODULES = (nested, ranking, resampling)
 FLAGSHIP: Query = ranking.QUERIES["auroc_within_group"][0]
 
 
