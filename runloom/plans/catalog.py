@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.plans import nested, ranking, resampling
+from runloom.plans import nested, ranking, resampling, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested, ranking, resampling)
+MODULES = (nested, ranking, resampling, sequences)
 FLAGSHIP: Query = ranking.QUERIES["auroc_within_group"][0]
 
 
