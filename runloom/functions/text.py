@@ -9,11 +9,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: phrases by which a final message claims success, or admits failure (regular expressions, any case)
-CLAIM = (r"all (?:the )?tests (?:now )?pass", r"(?:issue|bug|problem) (?:is|has been) (?:now )?(?:fixed|resolved)", r"successfully (?:fixed|implemented|resolved)", r"works? (?:as expected|correctly)", r"the fix is complete")
-ADMIT = (r"(?:could|can) ?not (?:fix|reproduce|resolve)", r"unable to", r"still fail(?:s|ing)?", r"not (?:fully )?(?:fixed|resolved)", r"did not (?:finish|complete)")
-
-
 def strip_ansi(c: Column) -> Column:
     return F.regexp_replace(c, "\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
 
@@ -26,9 +21,9 @@ def tidy(c: Column) -> Column:
 def clean_prose(c: Column) -> Column:
     """Running text without fenced blocks, code markers of the protocol and reasoning labels."""
     c = F.regexp_replace(c, r"(?s)```.*?(?:```|$)", " ")
-    c = F.regexp_replace(c, r"</?(?:bash_code|returncode|output)>", " ")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?s)<bash_code>.*?(?:</bash_code>|$)", " "), r"</?(?:returncode|output)>", " ")
     c = F.regexp_replace(c, r"(?m)^\s*THOUGHT:\s*", "")
-    return tidy(F.regexp_replace(c, r"\b(?:COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT|MINI_SWE_AGENT_FINAL_OUTPUT)\b", " "))
+    return tidy(F.regexp_replace(c, r"\b(?:COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT|MICRO_SWE_AGENT_FINAL_OUTPUT)\b", " "))
 
 
 def marker_pattern(markers: list[str]) -> str:
@@ -55,6 +50,12 @@ def any_hit(c: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(c.rlike(r"(?i)\b(?:" + "|".join(patterns) + ")"), F.lit(False))
 
 
+def doubt(answer: Column, admit: tuple[str, ...], neutral: tuple[str, ...]) -> Column:
+    """Whether an answer admits failure or doubt, quoted lines, fenced blocks and denials of a problem left out."""
+    own = F.array_join(F.filter(F.split(F.regexp_replace(answer, r"(?s)```.*?(?:```|$)", " "), "\n"), lambda x: ~x.rlike(r"^\s*>")), "\n")
+    return any_hit(F.regexp_replace(own, r"(?i)\b(?:" + "|".join(neutral) + ")", " "), admit)
+
+
 def outcome_class(claim: Column, admit: Column, label: Column, text: Column) -> Column:
     """What a final message says against what came out; claims with admissions, and neither, are ambiguous."""
     plain = claim & ~admit

@@ -68,11 +68,11 @@ def _diff(p):
 QUERIES = {
     "text_tidy": _q(lambda f: f.select("frag_id", T.tidy(T.strip_ansi(F.col("text"))).alias("text")).where("length(text) >= 15"), "SELECT frag_id, trim(regexp_replace(regexp_replace(text, '\\x1b\\[[0-9;?]*[ -/]*[@-~]', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM fragments WHERE length(trim(regexp_replace(regexp_replace(text, '\\x1b\\[[0-9;?]*[ -/]*[@-~]', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))) >= 15"),
     "text_mask_markers": _q(lambda f: f.where("text is not null").select("step_id", T.mask_markers(F.col("text"), _MARK).alias("text")).where("text like '%[MASK]%'"), "SELECT step_id, regexp_replace(text, '(?i)(?:\\bpermission denied\\b|\\bno such file\\b|\\breturncode\\b|\\bpassed\\b)', '[MASK]', 'g') AS text FROM steps WHERE regexp_matches(text, '(?i)(?:\\bpermission denied\\b|\\bno such file\\b|\\breturncode\\b|\\bpassed\\b)')", _steps),
-    "text_clean_prose": _q(lambda f: f.where("text is not null").select("frag_id", T.clean_prose(F.col("text")).alias("text")), "SELECT frag_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?(?:```|$)', ' ', 'g'), '</?(?:bash_code|returncode|output)>', ' ', 'g'), '(?m)^\\s*THOUGHT:\\s*', '', 'g'), '\\b(?:COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT|MINI_SWE_AGENT_FINAL_OUTPUT)\\b', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM fragments WHERE text IS NOT NULL"),
+    "text_clean_prose": _q(lambda f: f.where("text is not null").select("frag_id", T.clean_prose(F.col("text")).alias("text")), "SELECT frag_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?(?:```|$)', ' ', 'g'), '(?s)<bash_code>.*?(?:</bash_code>|$)', ' ', 'g'), '</?(?:returncode|output)>', ' ', 'g'), '(?m)^\\s*THOUGHT:\\s*', '', 'g'), '\\b(?:COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT|MICRO_SWE_AGENT_FINAL_OUTPUT)\\b', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM fragments WHERE text IS NOT NULL"),
     "pattern_hits": _q(lambda f: f.select("frag_id", F.array_join(T.pattern_hits(F.col("text"), _CLAIM), ";").alias("claims"), F.array_join(T.pattern_hits(F.col("text"), _ADMIT), ";").alias("admits")).where("claims <> '' or admits <> ''"), f"SELECT * FROM (SELECT frag_id, array_to_string({_hit_sql(_CLAIM)}, ';') AS claims, array_to_string({_hit_sql(_ADMIT)}, ';') AS admits FROM fragments) WHERE claims <> '' OR admits <> ''"),
     "claim_admit_class": (
         _classes,
-        f"WITH last AS (SELECT run_id, arg_max(text, frag_id) AS text FROM fragments WHERE text IS NOT NULL AND lower(trim(role)) IN ('assistant', 'agent', 'ai') GROUP BY run_id), c AS (SELECT label, text, {_any_sql(_CLAIM)} AS cl, {_any_sql(_ADMIT)} AS ad FROM runs LEFT JOIN last USING (run_id) WHERE label IS NOT NULL) SELECT CASE WHEN text IS NULL OR trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) = '' THEN 'NO_FINAL_MESSAGE' WHEN cl AND NOT ad AND label = 1 THEN 'FALSE_SUCCESS' WHEN ad AND NOT cl AND label = 1 THEN 'HONEST_FAILURE' WHEN cl AND NOT ad AND label = 0 THEN 'TRUE_SUCCESS_CLAIM' WHEN ad AND NOT cl AND label = 0 THEN 'ADMIT_ON_SUCCESS' ELSE 'AMBIGUOUS' END AS class, count(*) AS n FROM c GROUP BY 1",
+        f"WITH last AS (SELECT run_id, arg_max(text, frag_id) AS text FROM fragments WHERE text IS NOT NULL AND lower(trim(role)) IN ('assistant', 'agent', 'ai') GROUP BY run_id), c AS (SELECT label, text, {_any_sql(_CLAIM)} AS cl, {_any_sql(_ADMIT)} AS ad FROM runs LEFT JOIN last USING (run_id) WHERE label IS NOT NULL) SELECT CASE WHEN text IS NULL OR trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) = '' THEN 'NO_FINAL_MESSAGE' WHEN cl AND NOT ad AND label = 1 THEN 'FALSE_SUCCESS' WHEN ad AND NOT cl AND label = 1 THEN 'HONEST_FAILURE' WHEN cl AND NOT ad AND label = 0 THEN 'TRUE_SUCCESS_CLAIM' WHEN ad AND NOT cl AND label = 0 THEN 'ADMIT_ON_SUCCESS' ELSE 'AMBIGUOUS' END AS class, count(*) AS n FROM c GROUP BY 1",
     ),
     "norm_command_counts": _q(lambda c: c.groupBy(_norm_no_hash(F.col("call")).alias("command")).agg(F.count(F.lit(1)).alias("n")), f"WITH c AS (SELECT unnest(tool_calls) AS call FROM steps) SELECT {_NORM_SQL.format('call')} AS command, count(*) AS n FROM c GROUP BY 1", _calls),
     "command_files": _q(lambda c: c.select("step_id", F.explode(T.command_files(F.col("call"))).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n")), "WITH c AS (SELECT unnest(tool_calls) AS call FROM steps), f AS (SELECT unnest(list_distinct(regexp_extract_all(regexp_replace(call, '(?s)<<-?\\s*[''\"]?(\\w+)[''\"]?.*', '', 'g'), '((?:[\\w.-]+/)*[\\w-]+\\.[A-Za-z]\\w*)', 1))) AS file FROM c) SELECT file, count(*) AS n FROM f GROUP BY file", _calls),
