@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom.plans import nested, ranking, relational, resampling, sequences, text
+from runloom.plans import nested, pipelines, ranking, relational, resampling, sequences, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (nested, relational, ranking, resampling, sequences, text)
+MODULES = (nested, relational, ranking, resampling, sequences, text, pipelines)
 FLAGSHIP: Query = ranking.QUERIES["auroc_within_group"][0]
 
 

@@ -37,7 +37,7 @@ def _any_sql(ps, c="text"):
     return f"coalesce(regexp_matches({c}, '(?i)\\b(?:{'|'.join(ps)})'), false)"
 
 
-_NORM_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^\\s*(?:cd\\s+[^;&|]+(?:&&|;)\\s*)+', ''), '/tmp/[^\\s''\";|&)]+', 'TMP', 'g'), '\\d+', 'N', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))"
+_NORM_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^\\s*(?:cd\\s+[^;&|]+(?:&&|;)\\s*)+', ''), '/tmp/[^\\s''\";|&)]+', 'TMP', 'g'), '\\d+', 'N', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 
 
 def _norm_no_hash(c):
