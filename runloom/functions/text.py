@@ -156,14 +156,15 @@ def fragments(c: Column) -> Column:
 def task_statement(c: Column) -> Column:
     """What stands between description tags, or all; at most two line ends in a row."""
     inner = F.regexp_extract(c, r"(?s)<pr_description>(.*?)</pr_description>", 1)
-    return F.trim(F.regexp_replace(F.when(inner != "", inner).otherwise(c), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.when(inner != "", inner).otherwise(c), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def unwrap_output(c: Column) -> Column:
     """A tool's output without its wrapper; a non-zero return code stays as a line in front."""
     code = F.regexp_extract(c, r"<returncode>\s*(-?\d+)\s*</returncode>", 1)
     body = F.regexp_extract(c, r"(?s)<output>\n?(.*?)(?:</output>|$)", 1)
-    plain = F.trim(F.when(c.contains("<output>"), body).otherwise(F.regexp_replace(c, r"<returncode>\s*-?\d+\s*</returncode>\n?", "")))
+    plain = F.when(c.contains("<output>"), body).otherwise(F.regexp_replace(c, r"<returncode>\s*-?\d+\s*</returncode>\n?", ""))
+    plain = F.regexp_replace(plain, r"^\s+|\s+$", "")
     return F.when(code.isin("", "0"), plain).otherwise(F.concat(F.lit("returncode: "), code, F.lit("\n"), plain))
 
 
