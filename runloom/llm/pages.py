@@ -19,7 +19,7 @@ _SEPARATORS = ",;|•·/#—"
 # fixed values: words by which notices under a mail are known, in lower case
 NOTICES = (
     "confidential", "privileged", "vertraulich", "confidentiel", "disclaimer", "addressee", "empfänger", "destinataire", "destinatario", "unsubscribe", "by mistake", "in error",
-    "views in this mail", "you get this mail", "you receive this mail", "no contract is formed", "before you print", "is registered in",
+    "views in this mail", "you get this mail", "you receive this mail", "no contract is formed", "before you print", "is registered in", "scanned for harmful", "accept no liability",
 )
 # fixed values: common function words of English, German, French and Spanish
 FUNCTION_WORDS = frozenset(
@@ -107,13 +107,24 @@ def units(lines: list[str]) -> list[tuple[str, bool]]:
     return out
 
 
+def page_units(paragraphs: list[list[str]]) -> list[tuple[str, bool]]:
+    """units() of all paragraphs; what a page says again and again is a heap even if it is put as a sentence: three times
+    without any function word, or six times with."""
+    found = [u for p in paragraphs for u in units(p)]
+    often = {u: n for u, n in Counter(u.lower() for u, ok in found if ok).items() if n >= 3}
+    if not often:
+        return found
+    bare = {u for u, n in often.items() if n >= 6 or not any(w.strip(".,;:!?\"'()") in FUNCTION_WORDS for w in u.split())}
+    return [(u, ok and u.lower() not in bare) for u, ok in found]
+
+
 FEATURES = ("heap_share", "heap_units", "separators", "function_words", "longest_unit", "repeated_lines", "top_word", "distinct", "links", "link_chars", "anchors", "bullets", "short_lines", "capital_starts")
 
 
 def features(raw: str | None) -> tuple[float, ...]:
     """FEATURES of one page; all 0 for a page without own text."""
     paragraphs, anchors = own_text(raw)
-    all_units = [u for p in paragraphs for u in units(p)]
+    all_units = page_units(paragraphs)
     chars = sum(len(u) for u, _ in all_units)
     if not chars:
         return (0.0,) * len(FEATURES)

@@ -19,7 +19,7 @@ _CALL_SHAPES = (
     (r"(?U)\s+", " "),
     (r"^ ?(?:cd (?:'[^']*'|[^ ;&|]+) ?(?:&&|;) ?)+", ""),
     (r"/tmp/[^ '\";|&<>(),:=]*", "/tmp/F"),
-    (r"(?<![0-9A-Za-z])(?:0x)?[0-9a-fA-F]{8}(?![0-9A-Za-z])", "H"),
+    (r"(?<![0-9A-Za-z])(?:0x)?[0-9a-fA-F]{8}(?![0-9A-Za-z])", "N"),  # an id may be all digits: ids and numbers are alike
     (r"[0-9]+(?:\.[0-9]+)*", "N"),
     (r" ?(&&|\|\||[;|<>]) ?", "$1"),
 )

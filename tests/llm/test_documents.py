@@ -137,18 +137,19 @@ def pages_frame(spark):
     links = "\n".join(f"{i}. word{i} - http://shop{i}.example/a{i}" for i in range(30))
     stuffed = " ".join(["watches deals casino replica"] * 60)
     docs = [(i, message(PROSE + f" It was {i}."), "a@good.example") for i in range(40)] + [(100 + i, message([heap, links, stuffed][i % 3] + f" x{i}"), None if i % 2 else "b@bad.example") for i in range(12)]
+    docs += [(112, message("Dear list,\n\n" + "mortgage ulelsha online! " * 40), "c@bad.example"), (204, message("\n".join(f"The nightly job stopped at 10:{i} with code 0." for i in range(10, 40))), "q@good.example")]
     docs += [(200, None, None), (201, "", "x"), (202, message(PROSE + "\nhttp://a.example/b\n" + PROSE), "q@good.example"), (203, message("\n> ".join(["> " + heap] * 3) + "\n\n" + PROSE), "q@good.example"), (100, message(heap), "z")]
     return spark.createDataFrame(docs, "doc_id long, text string, sender string").withColumn("host", F.lit("clash")).withColumn("score", F.lit(1))
 
 
 def test_stuffed_pages(spark):
     d = pages_frame(spark)
-    assert sorted(r.doc_id for r in spam.stuffed_pages(d).collect()) == sorted([*range(100, 112), 100])
+    assert sorted(r.doc_id for r in spam.stuffed_pages(d).collect()) == sorted([*range(100, 113), 100])
     assert spam.score_pages(spam.page_features(d)).count() == d.count()
 
 
 def test_stuffed_pages_with_one_label_or_none(spark):
     d = pages_frame(spark)
     assert spam.stuffed_pages(d.where("doc_id < 40")).count() == 0
-    assert spam.stuffed_pages(d.where("doc_id between 101 and 111")).count() == 11
+    assert spam.stuffed_pages(d.where("doc_id between 101 and 112")).count() == 12
     assert spam.stuffed_pages(d.limit(0)).count() == 0

@@ -96,7 +96,7 @@ def test_stretches_across_chunks(spark, chunk, monkeypatch):
 def test_nearly_equal_calls(spark):
     same = ["cd /x && sed -n '1,5p' a.py", "sed -n \"20,35p\"  a.py", "sed   -n `1,5p` a.py\n"]
     tmp = ["diff a.py /tmp/4a06bd73.bak", "diff a.py /tmp/zz/q.txt"]
-    hexes = ["git show deadbeef", "git show 12345678"]
+    hexes = ["git show deadbeef", "git show 12345678", "git show 77"]
     other = ["sed -n '1,5p' b.py", "grep -n 'x' a.py", "git show feed"]
     d = spark.createDataFrame([(x,) for x in same + tmp + hexes + other], "c string").select(repeats.call_shape(F.col("c")).alias("s"))
     shapes = [r.s for r in d.collect()]
