@@ -18,9 +18,10 @@ _DISPOSITION = re.compile(r"(?im)^content-disposition[ \t]*:[ \t]*\"?([\w-]+)")
 _BOUNDARY = re.compile(r"(?i)boundary[ \t]*=[ \t]*(?:\"([^\"\n]+)\"|([^\s;]+))")
 _CHARSET = re.compile(r"(?i)charset[ \t]*=[ \t]*\"?([\w.:-]+)")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|head|title)\b.*?</\1\s*>")
-_LINK = re.compile(r"(?is)<a\b[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)[^>]*>(.*?)</a\s*>")
-_BREAK = re.compile(r"(?i)</?(?:p|br|div|li|ul|ol|tr|td|th|table|tbody|thead|h[1-6]|hr|blockquote|pre|body|html|section|article|header|footer|dt|dd|dl)\b[^>]*>")
+_OPENS = re.compile(r"<!--|<(script|style|head|title|blockquote)\b", re.I)
+_CLOSES = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "head", "title", "blockquote")} | {"": re.compile("-->")}
+_ANCHOR = re.compile(r"(?i)<a\s[^<>]*href")
+_BREAK = re.compile(r"(?i)</?(?:p|br|div|li|ul|ol|tr|td|th|table|tbody|thead|h[1-6]|hr|blockquote|pre|body|html|section|article|header|footer|dt|dd|dl)\b[^<>]*>")
 _TAG = re.compile(r"<[!?/]?[A-Za-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 MAX_DEPTH = 16
@@ -49,16 +50,31 @@ def _transfer_decode(body: str, encoding: str, charset: str) -> str:
     return body
 
 
-def html_to_text(page: str, links: list | None = None) -> str:
-    """Visible text of a page: block tags break lines, other tags vanish, entities are undone.
+def _shown(page: str, quotes: bool) -> str:
+    """A page without comments and elements that don't show, with or without quoted blocks, in one pass. What is never
+    closed is left as it stands."""
+    out, at, unclosed = [], 0, set()
+    for m in _OPENS.finditer(page):
+        name = (m[1] or "").lower()
+        if m.start() < at or name in unclosed or (quotes and name == "blockquote"):
+            continue
+        if end := _CLOSES[name].search(page, m.end()):
+            out.append(page[at : m.start()])
+            out.append("<p>" if name == "blockquote" else " ")
+            at = end.end()
+        else:
+            unclosed.add(name)
+    return "".join([*out, page[at:]]) if out else page
+
 
-    links, if given, gets (target, visible text) of each anchor.
-    """
-    page = _HIDDEN.sub(" ", page)
-    if links is not None:
-        links.extend((m[0], html.unescape(_TAG.sub("", m[1]))) for m in _LINK.findall(page))
+def html_to_text(page: str, quotes: bool = True) -> str:
+    """Visible text of a page: block tags break lines, other tags vanish, entities are undone."""
     # source line ends are white space; only block tags break lines
-    return html.unescape(_TAG.sub("", _BREAK.sub("\n", page.replace("\n", " "))))
+    return html.unescape(_TAG.sub("", _BREAK.sub("\n", _shown(page, quotes).replace("\n", " "))))
+
+
+def anchors(page: str) -> int:
+    return len(_ANCHOR.findall(page))
 
 
 def _split(message: str) -> tuple[str, str]:

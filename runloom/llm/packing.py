@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import importlib.util
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -18,8 +18,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how the public byte-level BPE cuts text before merging
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_ITEMS = 100_000
-#: Longest text handed to the tokenizer at once; longer ones are cut at line ends, whose tokens never span the cut.
-PIECE_CHARS = 200_000
+# White space runs that the tokenizer's look-ahead would take one stack frame a character for.
+_LONG_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -32,9 +32,17 @@ def tokenizer(path: str):
 
 
 def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
+    """Tokens of a whole text. Very long runs of white space are cut out where the tokenizer itself would cut, and
+    counted as the one piece they are, so the number is the tokenizer's own."""
     if not text:
         return 0
-    return len(tokenizer(path).encode_ordinary(text))
+    bpe = tokenizer(path)
+    n = at = 0
+    for m in _LONG_SPACE.finditer(text) if len(text) >= 1000 else ():
+        end = m.end() if m.end() == len(text) else m.end() - 1  # the last one belongs to what follows
+        n += len(bpe.encode_ordinary(text[at : m.start()])) + len(bpe._core_bpe.encode_single_piece(text[m.start() : end].encode()))
+        at = end
+    return n + len(bpe.encode_ordinary(text[at:] if at else text))
 
 
 class OpenBins:

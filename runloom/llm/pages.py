@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from runloom.llm.mail import html_to_text, leaf_parts
+from runloom.llm.mail import anchors, html_to_text, leaf_parts
 
 _QUOTE_INTRO = re.compile(r"^(?:on|am|le|el|op)\b.{0,120}(?:wrote|schrieb|a écrit|escribió|schreef)[^:\n]{0,80}:$", re.I)
 _FORWARD = re.compile(r"^-{2,} ?(?:original message|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|mensaje original)", re.I)
@@ -13,7 +13,6 @@ _GREETING = re.compile(r"^(?:(?:hello|hi|dear|hey|good (?:morning|day|evening)|h
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]”]*\s+")
 _BULLET = re.compile(r"(?:[-*•·+]|\d{1,4}[.)])\s")
-_QUOTED_HTML = re.compile(r"(?is)<blockquote\b.*?</blockquote\s*>")
 _SEPARATORS = ",;|•·/#—"
 
 # fixed values: words by which notices under a mail are known, in lower case
@@ -39,9 +38,11 @@ def own_text(raw: str | None) -> tuple[list[list[str]], int]:
     """Paragraphs (lists of lines) of the page without greeting, signature, notices and quoted replies, and the number
     of linked anchors."""
     paragraphs: list[list[str]] = []
-    anchors: list = []
+    linked = 0
     for kind, _, body in leaf_parts(raw):
-        text = html_to_text(_QUOTED_HTML.sub("<p>", body), anchors) if kind.endswith(("html", "xml")) else body
+        text = body
+        if kind.endswith(("html", "xml")):
+            text, linked = html_to_text(body, quotes=False), linked + anchors(body)
         block: list[str] = []
         signature = False
         for line in text.split("\n"):
@@ -68,7 +69,7 @@ def own_text(raw: str | None) -> tuple[list[list[str]], int]:
             if n > 4 and any(x in low for x in NOTICES):
                 continue
         kept.append(p)
-    return kept, len(anchors)
+    return kept, linked
 
 
 def units(lines: list[str]) -> list[tuple[str, bool]]:
@@ -123,7 +124,7 @@ FEATURES = ("heap_share", "heap_units", "separators", "function_words", "longest
 
 def features(raw: str | None) -> tuple[float, ...]:
     """FEATURES of one page; all 0 for a page without own text."""
-    paragraphs, anchors = own_text(raw)
+    paragraphs, linked = own_text(raw)
     all_units = page_units(paragraphs)
     chars = sum(len(u) for u, _ in all_units)
     if not chars:
@@ -147,7 +148,7 @@ def features(raw: str | None) -> tuple[float, ...]:
         len(counts) / n,
         len(urls) / n,
         sum(map(len, urls)) / chars,
-        anchors / n,
+        linked / n,
         sum(1 for x in lines if _BULLET.match(x)) / len(lines),
         sum(1 for x in lines if len(x) < 30) / len(lines),
         sum(1 for u, _ in all_units if u[:1].isupper()) / len(all_units),

@@ -26,6 +26,19 @@ def test_parts_and_encodings():
         pages.features(odd)
 
 
+def test_damaged_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for odd in ("<!-- " * 60_000, "<script>" * 60_000, "<a href=" * 60_000, "<p" * 100_000, "<b>" * 100_000, "&" * 200_000, "http://" * 50_000, "- " * 100_000, "--q\n" * 50_000, "On " * 80_000):
+        page = message(odd, kind="text/html")
+        mail.readable_texts(page)
+        pages.features(page)
+        pages.features(message(odd))
+    assert time.time() - began < 60
+    assert mail.html_to_text("<title>x</title>a<!-- b -->c<STYLE>d</style >e<blockquote>f</blockquote>g", quotes=False).split() == ["a", "c", "e", "g"]
+
+
 def naive(items, w, least):
     grams = {}
     for i, t in items:
@@ -111,6 +124,9 @@ def test_packing_is_whole(spark, monkeypatch):
 @pytest.mark.skipif(not Path(packing.TOKENIZER).exists(), reason="no tokenizer files")
 def test_token_counts():
     assert packing.count_tokens(None) == packing.count_tokens("") == 0
+    for text in ("a" + " " * 3000 + "b c", " \n" * 1500, "x" + "\n" * 2000 + "y" + "\t " * 1000, " " * 1200 + "1"):
+        assert packing.count_tokens(text) == len(packing.tokenizer(packing.TOKENIZER).encode_ordinary(text))
+    assert packing.count_tokens(" " * 2_000_000 + "x") > 0
     assert packing.count_tokens("hello world") == 2 and packing.count_tokens(BIG) >= 20_000
 
 
