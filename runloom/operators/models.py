@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -45,12 +47,15 @@ def _apart(train: DataFrame, test: DataFrame, group: str) -> None:
 
 def out_of_fold(df: DataFrame, y: str, features: list[str], fold: str, group: str, k: int = 5) -> DataFrame:
     """df with `risk`: each fold predicted by a model of the others; rows without a fold by a model of all."""
-    out = None
-    for i in range(k):
+
+    def one(i: int) -> DataFrame:
         train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
         _apart(train, test, group)
-        part = predict(*fit_logistic(train, y, features), test, features)
-        out = part if out is None else out.unionByName(part)
+        return predict(*fit_logistic(train, y, features), test, features)
+
+    with ThreadPool(k) as pool:  # the folds' jobs run side by side; only coefficients come to the driver
+        parts = pool.map(one, range(k))
+    out = reduce(DataFrame.unionByName, parts)
     orphans = df.where(F.col(fold).isNull())
     if orphans.limit(1).count():
         out = out.unionByName(predict(*fit_logistic(df.where(F.col(fold).isNotNull()), y, features), orphans, features))

@@ -159,11 +159,11 @@ def parts_roundtrip(spark, d):
 
 
 def stream_tumbling_counts(spark, d):
-    return rounded(S.drain(S.tumbling_counts(S.source(spark, d, "events"), late="400 days"), "complete", "tumbling"), 4)
+    return rounded(S.drain(S.tumbling_counts(S.source(spark, d, "events"), late="400 days"), "complete", "tumbling").withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
 
 
 def stream_sessions(spark, d):
-    return S.drain(S.session_counts(S.source(spark, d, "events"), late="400 days"), "complete", "sessions")
+    return S.drain(S.session_counts(S.source(spark, d, "events"), late="400 days"), "complete", "sessions").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_first_deliveries(spark, d):
