@@ -70,7 +70,7 @@ def parse_number(c: Column, percent: bool = False) -> Column:
     """The one number between 0 and 100 that a reply holds, the scale `0 to 100` aside; null if none or several."""
     bare = F.regexp_replace(c, r"(?i)\b0\s*(?:to|-|–)\s*100\b", " ")
     found = F.regexp_extract_all(bare, F.lit(r"(?<![\w.])(\d{1,3}(?:\.\d+)?)" + (r"\s*%" if percent else r"(?![\w.]*\d)")), F.lit(1))
-    values = F.array_distinct(F.transform(found, lambda x: x.cast("double")))
+    values = F.array_distinct(found.cast("array<double>"))
     return F.when((F.size(values) == 1) & (values[0] <= 100), values[0])
 
 

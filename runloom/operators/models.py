@@ -198,3 +198,19 @@ def noise_ceiling(units: DataFrame, share: str, epsilon: float, n_sim: int, seed
     d = d.withColumn("_y", F.when(u(2) < epsilon, 1 - drawn).otherwise(drawn))
     g = group_pairs(d, "_y", share, "sim")
     return g.where("pairs > 0").select("sim", (F.col("concordant") / F.col("pairs")).alias("auroc"))
+
+
+def nested_selection(df: DataFrame, y: str, sets: dict[str, list[str]], fold: str, group: str, k: int = 3) -> DataFrame:
+    """df with `chosen` and `risk`: in each outer fold the feature set with the best AUROC among out-of-fold risks inside
+    the training folds, refitted on all of them. Ties go to the first name."""
+    from runloom.operators.metrics import auroc
+
+    def one(i: int) -> DataFrame:
+        train, test = df.where(F.col(fold) % k != i), df.where(F.col(fold) % k == i)
+        inner = train.withColumn("_in", F.pmod(F.xxhash64(group), F.lit(2)).cast("int"))
+        found = {name: auroc(out_of_fold(inner, y, f, "_in", group, k=2), y, "risk").first().auroc or 0.0 for name, f in sets.items()}
+        best = min(found, key=lambda name: (-found[name], name))
+        return predict(*fit_logistic(train, y, sets[best]), test, sets[best]).withColumn("chosen", F.lit(best))
+
+    with ThreadPool(k) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, range(k)))

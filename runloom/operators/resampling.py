@@ -105,3 +105,19 @@ def subset_draws(attempts: DataFrame, unit: str, attempt: str, k: int, n_subsets
     d = attempts.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))))
     order = Window.partitionBy(unit, "subset").orderBy(F.md5(F.concat_ws(":", F.col(attempt), F.col("subset").cast("string"))), attempt)
     return d.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
+def row_bootstrap(df: DataFrame, key: str, cell: str, value: str, weight: str, n_draws: int) -> DataFrame:
+    """(estimate, lo, hi, undefined) of a weighted mean with rows drawn inside cells; key is a unique long.
+
+    Rows first become counts per (cell, value, weight): what is drawn is how often each such class comes, so the work
+    depends on the classes and draws, not on the rows.
+    """
+    classes = df.groupBy(F.col(cell).alias("_c"), F.col(value).alias("_v"), F.col(weight).alias("_g")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("unit"))
+    w = draws(classes.select("unit"), "unit", n_draws)
+    # the sum of n Poisson(1) weights, as its normal limit for large n, at least 0
+    spread = F.greatest(F.lit(0.0), F.col("n") + F.sqrt("n") * (F.col("w") - 1))
+    by = classes.join(w, "unit").groupBy("draw").agg(F.sum(spread * F.col("_g")).alias("d"), F.sum(spread * F.col("_g") * F.col("_v")).alias("u"))
+    v = by.select(F.when(F.col("d") > 0, F.col("u") / F.col("d")).alias("v"))
+    est = classes.agg((F.sum(F.col("n") * F.col("_g") * F.col("_v")) / F.sum(F.col("n") * F.col("_g"))).alias("estimate"))
+    return est.join(v.agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi"), F.count_if(F.col("v").isNull()).alias("undefined")))

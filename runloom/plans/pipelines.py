@@ -10,8 +10,12 @@ from runloom import scratch
 from runloom.functions import commands as C
 from runloom.io import load
 from runloom.operators import command_runs as R
+from runloom.operators import guards as K
 from runloom.operators import metrics as M
 from runloom.operators import models as L
+from runloom.operators import resampling as B
+from runloom.operators import sequences as Q
+from runloom.operators import structure as G
 from runloom.plans.base import ONCE_SQL, once, role, rounded, scored
 from runloom.sources import tables as T
 from runloom.sources import trajectories as J
@@ -81,6 +85,11 @@ def stacked_risk(spark, d):
     return rounded(L.stack(risk, "y", "risk", "score", "fold", "task_id").select("run_id", "risk"))
 
 
+def nested_selection(spark, d):
+    sets = {"length": ["n_steps"], "errors": ["n_err", "score"], "all": FEATURES}
+    return rounded(L.nested_selection(_frame(spark, d), "y", sets, "fold", "task_id").groupBy("fold", "chosen").agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("mean_risk")))
+
+
 def vif_table(spark, d):
     v = L.vif(_frame(spark, d), ["n_steps", "n_err", "n_tools", "score"])
     return rounded(spark.createDataFrame([(k, float(x)) for k, x in sorted(v.items())], "feature string, vif double"))
@@ -176,10 +185,48 @@ def stream_event_state(spark, d):
     return S.drain(S.keyed_progress(e, "user_id", "event_id", "event_type", "click", "purchase"), "update", "state").groupBy("user_id").agg(F.max("n_mark").alias("n_mark"), F.max("n_check").alias("n_check"))
 
 
+def structure_features(spark, d):
+    s = scratch.table(once(load(spark, d, "steps", "step_id", "run_id", "pos", "step_idx", "role", "text", "tool_calls")).withColumn("role", role()), "once")
+    ev = R.command_events(R.calls_with_output(s)).join(s.select("run_id", "pos", "step_idx"), ["run_id", "pos"])
+    ev = scratch.table(ev.withColumn("ord", F.struct("pos", "call_idx", "ev_idx")), "events")
+    return rounded(G.structure_features(scratch.table(G.step_table(s), "steps"), ev))
+
+
+def gold_runs(spark, d):
+    """One row a run: ids, features of structure and of its own checks, label and flags."""
+    r = load(spark, d, "runs", "run_id", "task_id", "model_id", "source", "label", "submitted")
+    return r.join(structure_features(spark, d), "run_id", "left").join(check_features(spark, d), "run_id", "left")
+
+
+def pinned_values(spark, d):
+    f = scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    total = f.agg(F.sum("n")).first()[0]
+    t = f.unionByName(spark.createDataFrame([("all", float(total))], "source string, n double"))
+    return K.enforce(K.pinned(t, "source", "n", {"all": float(total)}), "source")
+
+
+def flat_settings(spark, d):
+    return K.flat_settings(load(spark, d, "reports", "report_id", "report"), "report_id", "report")
+
+
+def error_share_interval(spark, d):
+    r = load(spark, d, "steps", "step_id", "task_id", "error").where("error is not null").withColumn("v", F.col("error").cast("int")).withColumn("w", F.lit(1.0))
+    return rounded(B.row_bootstrap(r, "step_id", "task_id", "v", "w", 100))
+
+
+def segment_after_last_edit(spark, d):
+    """Steps after a run's last edit, and the order patterns of their text lengths."""
+    s = scratch.table(once(load(spark, d, "steps", "step_id", "run_id", "pos", "role", "text", "tool_calls")).withColumn("role", role()), "once")
+    last = R.command_events(R.calls_with_output(s)).where("kind = 'edit'").groupBy("run_id").agg(F.max("pos").alias("le"))
+    tail = s.join(last, "run_id", "left").where("pos > coalesce(le, -1)").withColumn("len", F.coalesce(F.length("text"), F.lit(0)).cast("double"))
+    return rounded(Q.complexity(tail, "run_id", "pos", "len"))
+
+
 QUERIES = {
+    "structure_features": (structure_features, ""), "gold_runs": (gold_runs, ""), "pinned_values": (pinned_values, ""), "flat_settings": (flat_settings, ""), "error_share_interval": (error_share_interval, ""), "segment_after_last_edit": (segment_after_last_edit, ""),
     "command_events": (command_events, ""), "command_check_features": (check_features, ""), "command_outcomes": (outcome_counts, ""),
     "oof_logistic": (oof_logistic, ""), "oof_auroc": (oof_auroc, ""), "transfer_matrix": (transfer_matrix, ""), "linear_shap": (linear_shap, ""), "isotonic_calibration": (isotonic_calibration, ""),
-    "boosted_risk": (boosted_risk, ""), "text_risk": (text_risk, ""), "stacked_risk": (stacked_risk, ""), "vif_table": (vif_table, ""), "selected_features": (selected_features, ""),
+    "boosted_risk": (boosted_risk, ""), "text_risk": (text_risk, ""), "stacked_risk": (stacked_risk, ""), "nested_selection": (nested_selection, ""), "vif_table": (vif_table, ""), "selected_features": (selected_features, ""),
     "variance_shares_glmm": (variance_shares_glmm, ""), "noise_ceiling": (noise_ceiling, ""), "report_labels": (report_labels, ""),
     "raw_trajectories": (raw_trajectories, f"WITH {ONCE_SQL}, m AS (SELECT *, max(pos) FILTER (role = 'assistant') OVER (PARTITION BY run_id) AS la FROM once WHERE role IN ('assistant', 'tool')) SELECT run_id, count(*) FILTER (role = 'assistant') AS n_steps, sum(coalesce(len(tool_calls), 0)) FILTER (role = 'assistant')::BIGINT AS n_calls, (count(*) FILTER (role = 'assistant') - 1)::INTEGER AS last_step FROM m WHERE pos <= la GROUP BY run_id"),
     "attempt_status": (attempt_status, "SELECT split_part(run_id, '/', 1) AS run, task_id, CASE WHEN label = 0 THEN 'resolved' WHEN label = 1 THEN 'unresolved' WHEN submitted = 1 THEN 'eval_error' ELSE 'not_evaluated' END AS status, label FROM runs"),
