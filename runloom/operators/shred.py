@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "record_id long, node int, parent int, label string, ord int, kind string, scalar string"
+from runloom import scratch
+
+NODE_SCHEMA = "record_id long, node int, parent int, label string, ord int, kind string, scalar string, size int"
 
 # fixed values: the test groups and outcomes of a report, and the flags that mark a report without a task name
 GROUPS = ("FAIL_TO_PASS", "PASS_TO_PASS", "FAIL_TO_FAIL", "PASS_TO_FAIL")
@@ -56,14 +58,15 @@ def _kind(value) -> str:
     return "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
 
 
-def walk(value) -> Iterator[tuple[int, int, str | None, int, str, str | None]]:
-    """(node, parent, label, ord, kind, scalar) of every node, parents first; the root is node 0 with parent -1."""
+def walk(value) -> Iterator[tuple[int, int, str | None, int, str, str | None, int]]:
+    """(node, parent, label, ord, kind, scalar, size) of every node, parents first; the root is node 0 with parent -1."""
     todo, n = [(value, -1, None, 0)], 0
     while todo:
         value, parent, label, ord_ = todo.pop()
         kind, node = _kind(value), n
         n += 1
-        yield node, parent, label, ord_, kind, None if kind in ("object", "array") else scalar_text(value)
+        inner = kind in ("object", "array")
+        yield node, parent, label, ord_, kind, None if inner else scalar_text(value), len(value) if inner else 0
         if kind == "object":
             todo += [(v, node, scalar_text(k), i) for i, (k, v) in reversed(list(enumerate(value.items())))]
         elif kind == "array":
@@ -71,7 +74,8 @@ def walk(value) -> Iterator[tuple[int, int, str | None, int, str, str | None]]:
 
 
 def shred(records: DataFrame, record_id: str, text: str) -> DataFrame:
-    """The adjacency table of nested records: a row per node with its parent, label, ordinal, kind and scalar.
+    """The adjacency table of nested records: a row per node with its parent, label, ordinal, kind, scalar and
+    number of children.
 
     record_id must be an integer that tells records apart. What is no whole JSON or Python literal has no nodes, neither
     have null texts. Objects and arrays have no scalar; text scalars stand as written, true and false as such words.
@@ -93,7 +97,12 @@ def shred(records: DataFrame, record_id: str, text: str) -> DataFrame:
     return records.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("body")).where("record_id is not null").mapInPandas(nodes, NODE_SCHEMA)
 
 
-_COLUMNS = ["record_id", "node", "parent", "label", "ord", "kind", "scalar"]
+_COLUMNS = ["record_id", "node", "parent", "label", "ord", "kind", "scalar", "size"]
+
+
+def node_table(records: DataFrame, record_id: str, text: str) -> DataFrame:
+    """shred(), written once and ordered by label inside each file, so that a read for few labels skips most pages."""
+    return scratch.table(shred(records, record_id, text).sortWithinPartitions("label"), "nodes")
 
 
 def children(nodes: DataFrame, parents: DataFrame, keep: Column | bool = True) -> DataFrame:
@@ -114,7 +123,7 @@ def report_entities(reports: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A record stands alone, under its task's name, or in a list `reports` with an instance_id. Empty records are none.
     """
-    objects = nodes.where("kind = 'object'")
+    objects = nodes.where("kind = 'object' and size > 0")
     root = objects.where("node = 0").select("record_id", "node")
     top = nodes.where("parent = 0")
     has = top.groupBy("record_id").agg(F.max(F.col("label").isin(*REPORT_FIELDS)).alias("alone"), F.max(F.when((F.col("label") == "reports") & (F.col("kind") == "array"), F.col("node"))).alias("listed"))
@@ -122,8 +131,7 @@ def report_entities(reports: DataFrame, nodes: DataFrame) -> DataFrame:
     alone = root.where("listed is null and alone").select("record_id", "node", F.lit(None).cast("string").alias("named"))
     named = objects.where("parent = 0").join(root.where("listed is null and not alone").select("record_id"), "record_id").select("record_id", "node", F.col("label").alias("named"))
     listed = objects.join(root.where("listed is not null").select("record_id", F.col("listed").alias("parent")), ["record_id", "parent"]).select("record_id", "node", F.lit(None).cast("string").alias("named"))
-    full = nodes.select("record_id", F.col("parent").alias("node")).distinct()
-    records = alone.union(named).union(listed).join(full, ["record_id", "node"], "left_semi")
+    records = alone.union(named).union(listed)
     values = scalars(nodes, ["resolved", "instance_id"])
     word = F.lower(F.trim("resolved"))
     state = F.when(word.isin("true", "1", "1.0"), "resolved").when(word.isin("false", "0", "0.0"), "unresolved").otherwise("unknown")
@@ -138,7 +146,7 @@ def test_entities(nodes: DataFrame, records: DataFrame) -> DataFrame:
     status = children(nodes, holder, (F.col("label") == "tests_status") & (F.col("kind") == "object")).select("record_id", "node", "task_id", "record_node")
     groups = children(nodes, status, F.col("label").isin(*GROUPS) & (F.col("kind") == "object")).select("record_id", "node", "task_id", "record_node", F.col("label").alias("test_group"))
     lists = children(nodes, groups, F.col("label").isin(*OUTCOMES) & (F.col("kind") == "array")).select("record_id", "node", "task_id", "record_node", "test_group", F.col("label").alias("outcome"))
-    entries = children(nodes, lists)
+    entries = children(nodes, lists, F.col("label").isNull())  # members of arrays have no label
     names = scalars(nodes.where("label = 'name'"), ["name"])
     out = entries.join(names, ["record_id", "node"], "left").withColumn("test_name", F.when(F.col("kind") == "object", F.col("name")).otherwise(F.col("scalar")))
     return out.where("test_name is not null and test_name <> ''").select(F.col("record_id").alias("report_id"), "record_node", "node", "task_id", "test_group", "outcome", "ord", "test_name")
@@ -150,8 +158,8 @@ def flat_reports(reports: DataFrame, nodes: DataFrame | None = None) -> DataFram
     Nameless entries (null, empty, objects without a name) keep their index and give no row. Reports that can't be read
     or are empty give nothing. report_id must be unique; other columns of reports are ignored.
     """
-    nodes = shred(reports, "report_id", "report") if nodes is None else nodes
-    records = report_entities(reports, nodes)
+    nodes = node_table(reports, "report_id", "report") if nodes is None else nodes
+    records = scratch.table(report_entities(reports, nodes), "records")
     parents = records.select("report_id", "task_id", F.lit("REPORT").alias("test_group"), F.col("state").alias("outcome"), F.lit(-1).alias("ord"), F.lit("").alias("test_name"))
     tests = test_entities(nodes, records).select("report_id", "task_id", "test_group", "outcome", "ord", "test_name")
     return parents.unionByName(tests)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runloom import scratch
 from runloom.io import load
 from runloom.operators import shred
 
 
 def _reports(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     reports = load(spark, folder, "reports", "report_id", "task_id", "report")
-    return reports.drop("report"), scratch.table(shred.shred(reports, "report_id", "report"), "nodes")
+    return reports.drop("report"), shred.node_table(reports, "report_id", "report")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
