@@ -39,17 +39,23 @@ def within_auroc(df: DataFrame, y: str, score: str, group: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("groups"), F.sum("pairs").alias("pairs"), (F.sum("concordant") / F.sum("pairs")).alias("pooled"), F.avg(F.col("concordant") / F.col("pairs")).alias("macro"))
 
 
-def masked_pairs(df: DataFrame, y: str, score: str, group: str, mask: Column, carry: list[str], label: Column) -> DataFrame:
-    """(pair_set, n, concordant, auroc) over (failed, solved) pairs of one group that satisfy mask.
+def class_pairs(df: DataFrame, y: str, score: str, group: str, classes: list[str], label: Column) -> DataFrame:
+    """(pair_set, n, concordant, auroc) over (failed, solved) pairs of one group, sorted into sets by their classes.
 
-    mask and label read the pair's columns as f_x and s_x. Only here are pairs made, by an equi-join on the group, and
-    only the columns needed; where there is no mask, group_pairs does without.
+    label reads the pair's classes as f_x and s_x. No pair is made: rows become counts per class and score, each failed
+    cell meets the solved classes of its group once, and running counts tell how many solved rows of the class lie below.
+    Work grows as cells times classes of a group.
     """
-    cols = [score, *carry]
-    f = df.where(F.col(y) == 1).select(group, *[F.col(c).alias(f"f_{c}") for c in cols])
-    s = df.where(F.col(y) == 0).select(group, *[F.col(c).alias(f"s_{c}") for c in cols])
-    win = F.when(F.col(f"f_{score}") > F.col(f"s_{score}"), 1.0).when(F.col(f"f_{score}") == F.col(f"s_{score}"), 0.5).otherwise(0.0)
-    p = f.join(s, group).where(mask).groupBy(label.alias("pair_set")).agg(F.count(F.lit(1)).alias("n"), F.sum(win).alias("concordant"))
+    cells = _clean(df, y, score, group).groupBy(group, *classes, score).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
+    solved = cells.where("neg > 0").select(group, *[F.col(c).alias(f"s_{c}") for c in classes], F.col(score).alias("v"), "neg")
+    failed = cells.where("pos > 0").select(group, *[F.col(c).alias(f"f_{c}") for c in classes], F.col(score).alias("v"), "pos")
+    s = [f"s_{c}" for c in classes]
+    met = failed.join(solved.select(group, *s).distinct(), group)
+    both = met.unionByName(solved, allowMissingColumns=True)
+    w = Window.partitionBy(group, *s)
+    below = F.sum("neg").over(w.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.coalesce(F.sum("neg").over(Window.partitionBy(group, *s, "v")), F.lit(0.0)) / 2
+    d = both.withColumn("below", F.coalesce(below, F.lit(0.0))).withColumn("total", F.sum("neg").over(w)).where("pos is not null")
+    p = d.groupBy(label.alias("pair_set")).agg(F.sum(F.col("pos") * F.col("total")).cast("long").alias("n"), F.sum(F.col("pos") * F.col("below")).alias("concordant"))
     return p.withColumn("auroc", F.col("concordant") / F.col("n"))
 
 

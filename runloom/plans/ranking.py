@@ -20,12 +20,12 @@ def _strength(d):
     d = d.join(d.groupBy("combo").agg(F.avg("y").alias("st")), "combo")
     gap = F.col("f_st") - F.col("s_st")
     label = F.when(F.abs(gap) <= 0.05, "similar").when(gap > 0, "failed weaker").otherwise("failed stronger")
-    return M.masked_pairs(d, "y", "score", "task_id", F.lit(True), ["st"], label)
+    return M.class_pairs(d, "y", "score", "task_id", ["st"], label)
 
 
 def _sets(d):
     label = F.when((F.col("f_finished") == 1) & (F.col("s_finished") == 1), "FF").when((F.col("f_finished") == 0) & (F.col("s_finished") == 0), "UU").otherwise("FU")
-    return M.masked_pairs(d, "y", "score", "task_id", F.lit(True), ["finished"], label)
+    return M.class_pairs(d, "y", "score", "task_id", ["finished"], label)
 
 
 _P = "1 / (1 + exp(1 - 4 * score))"

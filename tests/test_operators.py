@@ -119,3 +119,15 @@ def test_walk_rebuilds_the_value():
         return int(scalar) if kind == "number" else scalar == "true" if kind == "boolean" else scalar
 
     assert [n[0] for n in nodes] == list(range(len(nodes))) and build(0) == value
+
+
+def test_class_pairs_against_pairs(spark):
+    rng = np.random.default_rng(8)
+    d = pd.DataFrame({"g": rng.integers(0, 6, 200), "y": rng.integers(0, 2, 200), "s": rng.integers(0, 5, 200) / 2, "c": rng.integers(0, 3, 200)})
+    label = F.when(F.col("f_c") == F.col("s_c"), "same").when(F.col("f_c") > F.col("s_c"), "up").otherwise("down")
+    got = {r.pair_set: (r.n, r.concordant) for r in M.class_pairs(spark.createDataFrame(d), "y", "s", "g", ["c"], label).collect()}
+    p = d[d.y == 1].merge(d[d.y == 0], on="g")
+    p["set"] = np.where(p.c_x == p.c_y, "same", np.where(p.c_x > p.c_y, "up", "down"))
+    p["w"] = (p.s_x > p.s_y) + (p.s_x == p.s_y) / 2
+    assert got == {k: (len(x), x.w.sum()) for k, x in p.groupby("set")}
+    assert M.class_pairs(spark.createDataFrame(d).limit(0), "y", "s", "g", ["c"], label).count() == 0
