@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once a session, so that they need no path to it.
+
+    The archive lies beside the driver, which serves it to the executors.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="runloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(archive := f"{folder}/runloom-code.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(archive)
+
 
 def load(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The table, narrowed at the scan to the columns asked for."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
