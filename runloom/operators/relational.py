@@ -93,6 +93,28 @@ def identical_noise(df: DataFrame, unit: str, same: str, failed: str) -> DataFra
     return t.select("pairs", "discordant", d.alias("discordance"), F.when(d <= 0.5, (1 - F.sqrt(1 - 2 * d)) / 2).alias("epsilon"))
 
 
+def patch_noise(attempts: DataFrame, unit: str, patch: str, failed: str) -> DataFrame:
+    """One row: what labels of attempts with the same patch say about label noise, over all attempts of a unit.
+
+    identical_pairs counts pairs of a unit's attempts whose patches agree byte for byte (outer space aside, empty ones
+    left out), labelled_pairs those where both labels are known, discordant those with different labels; discordance and
+    epsilon follow from these. within_pairs counts (failed, solved) pairs of a unit's labelled attempts, also without
+    patch; s is the share of them that have one patch, ceiling = 1 - s / 2. Counted from groups, no pair is made.
+    """
+    text = F.regexp_replace(patch, r"^\s+|\s+$", "")
+    known = F.count(failed).cast("double")
+    pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
+    d = attempts.where(F.col(unit).isNotNull()).withColumn("_h", F.when((text != "") & (text != "None"), F.sha1(text)))
+    g = d.groupBy(unit, "_h").agg(F.count(F.lit(1)).cast("double").alias("n"), known.alias("m"), F.coalesce(F.sum(failed), F.lit(0)).cast("double").alias("f"))
+    same = g.where("_h is not null").agg(F.coalesce(pairs("n"), F.lit(0.0)).alias("identical_pairs"), F.coalesce(pairs("m"), F.lit(0.0)).alias("labelled_pairs"), F.coalesce(F.sum(F.col("f") * (F.col("m") - F.col("f"))), F.lit(0.0)).alias("discordant"))
+    u = g.groupBy(unit).agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
+    whole = u.agg(F.coalesce(F.sum(F.col("f") * (F.col("m") - F.col("f"))), F.lit(0.0)).alias("within_pairs"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    t = same.join(whole).withColumn("discordance", share("discordant", "labelled_pairs")).withColumn("s", share("discordant", "within_pairs"))
+    eps = F.when(F.col("discordance").isNotNull(), (1 - F.sqrt(F.greatest(F.lit(0.0), 1 - 2 * F.col("discordance")))) / 2)
+    return t.select("identical_pairs", "labelled_pairs", "discordant", "discordance", eps.alias("epsilon"), "within_pairs", "s", (1 - F.col("s") / 2).alias("ceiling"))
+
+
 def anova_shares(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
     """(a_share, b_share, within_share): variance of group means by either factor, and pooled inside cells, over the whole.
 

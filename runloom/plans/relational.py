@@ -27,6 +27,14 @@ def _noise(t):
     return R.identical_noise(u.withColumn("f", (F.col("pred_id") % 3 == 0).cast("int")), "task_id", "submission", "f")
 
 
+def _patch_noise(t):
+    """Answers carry no run: their label is that of the runs of the same task and model, where those agree."""
+    whole = F.from_json("pred_json", "map<string,map<string,string>>")
+    p = t("preds", "pred_json").select(F.map_keys(whole)[0].alias("task_id"), F.map_values(whole)[0].alias("a")).select("task_id", F.col("a")["model_name_or_path"].alias("model_id"), F.col("a")["model_patch"].alias("patch"))
+    r = t("runs", "task_id", "model_id", "label").where("label is not null").groupBy("task_id", "model_id").agg(F.min("label").alias("y"), F.max("label").alias("hi")).where("y = hi").drop("hi")
+    return R.patch_noise(p.join(r, ["task_id", "model_id"], "left"), "task_id", "patch", "y")
+
+
 QUERIES = {
     "population_filter": _q(lambda t: t("runs", "run_id", "task_id", "agent_id", "model_id", "submitted").where("submitted = 1 and task_id not like 'quillbox%'").select("run_id", F.regexp_extract("task_id", r"^(.*)-\d+$", 1).alias("repo"), F.concat_ws("|", "model_id", F.regexp_extract("agent_id", r"-(\d+)\.", 1)).alias("combo"), F.regexp_replace("model_id", "-high$", "").alias("base_model"), F.element_at(F.split("task_id", "-"), -1).cast("int").alias("number")), "SELECT run_id, regexp_extract(task_id, '^(.*)-\\d+$', 1) AS repo, concat_ws('|', model_id, regexp_extract(agent_id, '-(\\d+)\\.', 1)) AS combo, regexp_replace(model_id, '-high$', '') AS base_model, regexp_extract(task_id, '(\\d+)$', 1)::INTEGER AS number FROM runs WHERE submitted = 1 AND task_id NOT LIKE 'quillbox%'"),
     "finished_flag": _q(lambda t: R.finished(t("steps", "step_id", "run_id", "pos", "role", "text", "tool_calls")), "WITH l AS (SELECT run_id, role, text, tool_calls FROM steps QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY pos DESC, step_id) = 1) SELECT run_id, (lower(trim(role)) IN ('assistant','agent','ai') AND coalesce(trim(text), '') <> '' AND coalesce(len(tool_calls), 0) = 0)::INTEGER AS finished FROM l"),
@@ -63,6 +71,7 @@ QUERIES = {
     "set_operations": _q(lambda t: R.set_counts(t("runs", "task_id"), t("reports", "task_id"), "task_id"), "WITH a AS (SELECT DISTINCT task_id FROM runs), b AS (SELECT DISTINCT task_id FROM reports) SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'left', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)"),
     "table_compare": _q(lambda t: R.compare_tables(t("customer", "c_custkey", "c_acctbal"), t("customer", "c_custkey", "c_acctbal").where("c_custkey % 10 <> 0").withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 7 == 0, 1.0).otherwise(0.0)), "c_custkey", "c_acctbal"), "WITH b AS (SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 7 = 0 THEN 1.0 ELSE 0.0 END AS v FROM customer WHERE c_custkey % 10 <> 0) SELECT count(*) FILTER (b.c_custkey IS NULL) AS left_only, count(*) FILTER (a.c_custkey IS NULL) AS right_only, count(*) FILTER (abs(a.c_acctbal - b.v) > 1e-9) AS different, round(max(abs(a.c_acctbal - b.v)), 6) AS max_abs FROM customer a FULL JOIN b ON a.c_custkey = b.c_custkey"),
     "identical_patch_noise": _q(_noise, "WITH p AS (SELECT pred_id, submission, json_keys(pred_json)[1] AS task_id, (pred_id % 3 = 0)::INT AS f FROM preds), r AS (SELECT task_id FROM runs WHERE label IS NOT NULL GROUP BY task_id), g AS (SELECT p.task_id, submission, count(*) AS m, sum(f) AS f FROM p JOIN r ON p.task_id = r.task_id WHERE submission IS NOT NULL GROUP BY 1, 2), t AS (SELECT sum(m * (m - 1) / 2) AS pairs, sum(f * (m - f)) AS discordant FROM g), d AS (SELECT *, discordant / pairs AS d FROM t) SELECT pairs::DOUBLE AS pairs, discordant::DOUBLE AS discordant, round(d, 6) AS discordance, CASE WHEN d <= 0.5 THEN round((1 - sqrt(1 - 2 * d)) / 2, 6) END AS epsilon FROM d"),
+    "patch_identity_noise": _q(_patch_noise, ""),
     "variance_shares_anova": _q(lambda t: R.anova_shares(t("runs", "task_id", "model_id", "label").where("label is not null"), "task_id", "model_id", "label"), "WITH d AS (SELECT task_id, model_id, label::DOUBLE AS y FROM runs WHERE label IS NOT NULL), t AS (SELECT avg(y) AS m, var_pop(y) AS v FROM d), a AS (SELECT sum(n * pow(g - m, 2)) / sum(n) AS v FROM (SELECT avg(y) g, count(*) n FROM d GROUP BY task_id), t), b AS (SELECT sum(n * pow(g - m, 2)) / sum(n) AS v FROM (SELECT avg(y) g, count(*) n FROM d GROUP BY model_id), t), c AS (SELECT sum((n - 1) * s) / sum(n - 1) AS v FROM (SELECT var_samp(y) s, count(*) n FROM d GROUP BY task_id, model_id HAVING count(*) > 1)) SELECT round(a.v / t.v, 6) AS a_share, round(b.v / t.v, 6) AS b_share, round(coalesce(c.v, 0) / t.v, 6) AS within_share FROM a, b, c, t"),
     "json_props": _q(lambda t: t("events", "event_id", "props").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"), F.size(F.map_keys(F.from_json("props", "map<string,string>"))).alias("n_keys")), "SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props))::INTEGER AS n_keys FROM events"),
     "shared_identifier_groups": _q(lambda t: R.linked_groups(t("preds", "submission", "pred_json").where("submission is not null").select("submission", F.sha1("pred_json").alias("h")), "submission", "h").select("submission", "group_id"), "WITH RECURSIVE p AS (SELECT DISTINCT submission AS s, sha1(pred_json) AS h FROM preds WHERE submission IS NOT NULL), e AS (SELECT DISTINCT a.s AS a, b.s AS b FROM p a JOIN p b USING (h)), r(s, o) AS (SELECT s, s FROM p UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.o) SELECT s AS submission, min(o) AS group_id FROM r GROUP BY s"),
