@@ -62,15 +62,35 @@ def out_of_fold(df: DataFrame, y: str, features: list[str], fold: str, group: st
     return out
 
 
-def transfer(df: DataFrame, y: str, features: list[str], domain: str, values: list[str], fold: str, k: int = 2) -> DataFrame:
-    """df rows with `trained_on` and `risk` for every ordered pair of domains, trained on folds that the rows are not in."""
-    out = None
-    for a in values:
-        for i in range(k):
-            model, of = fit_logistic(df.where((F.col(domain) == a) & (F.col(fold) % k != i)), y, features)
-            part = predict(model, of, df.where(F.col(fold) % k == i), features).withColumn("trained_on", F.lit(a))
-            out = part if out is None else out.unionByName(part)
-    return out
+OTHERS = "all others"
+
+
+def transfer(df: DataFrame, y: str, features: list[str], domain: str, fold: str, k: int = 5) -> DataFrame:
+    """df rows with `trained_on` and `risk`: from every domain to every domain, and from all others to each (OTHERS).
+
+    The domains are those of the data. Each fold is predicted by models of the other folds; a domain without training
+    rows there predicts nothing. Rows without a fold are predicted by models of all rows with one. Only coefficients come
+    to the driver, and go back as a table of a row per model, so that the plan does not grow with the models.
+    """
+    cells = [(r[0], r[1], r[2]) for r in df.where(F.col(domain).isNotNull()).groupBy(domain, fold).count().collect()]  # a row per domain and fold
+    values = sorted({a for a, _, _ in cells})
+    folds = [*range(k), None] if any(i is None for _, i, _ in cells) else [*range(k)]
+
+    def one(job) -> tuple | None:
+        a, others, i = job
+        if not any((b != a) == others and j is not None and j != i for b, j, _ in cells):
+            return None
+        source = F.col(domain) != a if others else F.col(domain) == a
+        model, of = fit_logistic(df.where(source & (F.col(fold).isNotNull() if i is None else F.col(fold) != i)), y, features)
+        return OTHERS if others else a, a if others else None, i, float(model.intercept), [(float(c), *map(float, of[f])) for f, c in zip(features, model.coefficients)]
+
+    with ThreadPool(k) as pool:
+        rows = [r for r in pool.map(one, [(a, others, i) for a in values for others in (False, True) for i in folds], chunksize=1) if r]
+    models = df.sparkSession.createDataFrame(rows, f"trained_on {df.schema[domain].dataType.simpleString()}, _to {df.schema[domain].dataType.simpleString()}, _i int, _b double, _w array<struct<c:double,m:double,s:double>>")
+    on = F.col(fold).eqNullSafe(F.col("_i")) & F.col(domain).isNotNull() & (F.col("_to").isNull() | (F.col("_to") == F.col(domain)))
+    part = lambda f, w: w["c"] * (F.coalesce(F.col(f).cast("double"), w["m"]) - w["m"]) / w["s"]
+    z = sum((part(f, F.col("_w")[n]) for n, f in enumerate(features)), F.col("_b"))
+    return df.join(F.broadcast(models), on).withColumn("risk", 1 / (1 + F.exp(-z))).drop("_to", "_i", "_b", "_w")  # a row per model
 
 
 def linear_shap(model, of, df: DataFrame, features: list[str]) -> DataFrame:

@@ -56,8 +56,10 @@ def oof_auroc(spark, d):
 
 def transfer_matrix(spark, d):
     f = _frame(spark, d)
-    t = scratch.table(L.transfer(f, "y", FEATURES, "source", ["bashonly", "repeats"], "fold").where("source in ('bashonly', 'repeats')"), "transfer")
-    return rounded(M.group_pairs(t, "y", "risk", "trained_on", "source").select("trained_on", "source", (F.col("concordant") / F.col("pairs")).alias("auroc")))
+    t = scratch.table(L.transfer(f, "y", FEATURES, "source", "fold").select("run_id", "source", "fold", "y", "trained_on", "risk"), "transfer")
+    pooled = M.group_pairs(t, "y", "risk", "trained_on", "source").select("trained_on", "source", F.when(F.col("pairs") > 0, F.col("concordant") / F.col("pairs")).alias("auroc"))
+    each = M.group_pairs(t.where("fold is not null"), "y", "risk", "trained_on", "source", "fold").where("pairs > 0").groupBy("trained_on", "source").agg(F.avg(F.col("concordant") / F.col("pairs")).alias("fold_auroc"))
+    return rounded(pooled.join(each, ["trained_on", "source"], "left"))
 
 
 def linear_shap(spark, d):
