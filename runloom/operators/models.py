@@ -45,16 +45,18 @@ def _apart(train: DataFrame, test: DataFrame, group: str) -> None:
         raise ValueError(f"{group} in training and test rows")
 
 
-def out_of_fold(df: DataFrame, y: str, features: list[str], fold: str, group: str, k: int = 5) -> DataFrame:
-    """df with `risk`: each fold predicted by a model of the others; rows without a fold by a model of all."""
+def out_of_fold(df: DataFrame, y: str, features: list[str], fold: str, group: str, k: int = 5, folds: list[int] | None = None) -> DataFrame:
+    """df with `risk`: each fold predicted by a model of the others; rows without a fold by a model of all. folds names
+    them if they are not 0 to k - 1."""
+    folds = [*range(k)] if folds is None else folds
 
     def one(i: int) -> DataFrame:
         train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
         _apart(train, test, group)
         return predict(*fit_logistic(train, y, features), test, features)
 
-    with ThreadPool(k) as pool:  # the folds' jobs run side by side; only coefficients come to the driver
-        parts = pool.map(one, range(k))
+    with ThreadPool(len(folds)) as pool:  # the folds' jobs run side by side; only coefficients come to the driver
+        parts = pool.map(one, folds)
     out = reduce(DataFrame.unionByName, parts)
     orphans = df.where(F.col(fold).isNull())
     if orphans.limit(1).count():
@@ -100,25 +102,34 @@ def linear_shap(model, of, df: DataFrame, features: list[str]) -> DataFrame:
     return rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("coefficient"), F.col(f).alias("mean_abs")) for f, c in zip(features, coef)])).alias("x")).select("x.*")
 
 
-def isotonic(df: DataFrame, y: str, risk: str, fold: str, k: int = 2) -> DataFrame:
+def _by_fold(df: DataFrame, fold: str, k: int, one) -> DataFrame:
+    """one(train, test) of every fold against the others; rows without a fold are predicted from all that have one."""
+    parts = [(df.where(F.col(fold) != i), df.where(F.col(fold) == i)) for i in range(k)]
+    orphans = df.where(F.col(fold).isNull())
+    if orphans.limit(1).count():
+        parts.append((df.where(F.col(fold).isNotNull()), orphans))
+    return reduce(DataFrame.unionByName, [one(*p) for p in parts])
+
+
+def isotonic(df: DataFrame, y: str, risk: str, fold: str, k: int = 5) -> DataFrame:
     """df with `calibrated`: monotone fit of y on out-of-fold risk, each fold by the others."""
-    out = None
-    for i in range(k):
-        train = VectorAssembler(inputCols=[risk], outputCol="_v").transform(df.where(F.col(fold) % k != i))
-        model = IsotonicRegression(featuresCol="_v", labelCol=y, predictionCol="calibrated").fit(train)
-        part = model.transform(VectorAssembler(inputCols=[risk], outputCol="_v").transform(df.where(F.col(fold) % k == i))).drop("_v")
-        out = part if out is None else out.unionByName(part)
-    return out
+    x = VectorAssembler(inputCols=[risk], outputCol="_v")
 
+    def one(train, test):
+        return IsotonicRegression(featuresCol="_v", labelCol=y, predictionCol="calibrated").fit(x.transform(train)).transform(x.transform(test)).drop("_v")
 
-def boosted(df: DataFrame, y: str, features: list[str], fold: str, k: int = 2, rounds: int = 10) -> DataFrame:
-    out = None
-    assemble = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="keep")
-    for i in range(k):
-        model = GBTClassifier(featuresCol="_v", labelCol=y, maxIter=rounds, maxDepth=3, seed=42).fit(assemble.transform(df.where(F.col(fold) % k != i)))
-        part = model.transform(assemble.transform(df.where(F.col(fold) % k == i))).withColumn("risk", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _by_fold(df, fold, k, one)
+
+
+def boosted(df: DataFrame, y: str, features: list[str], fold: str, k: int = 5, rounds: int = 200) -> DataFrame:
+    """df with `risk` of boosted trees: as many rounds, and steps as small, as the reference's (200, 0.05)."""
+    x = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="keep")
+
+    def one(train, test):
+        model = GBTClassifier(featuresCol="_v", labelCol=y, maxIter=rounds, maxDepth=4, stepSize=0.05, seed=42).fit(x.transform(train))
+        return model.transform(x.transform(test)).withColumn("risk", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
+
+    return _by_fold(df, fold, k, one)
 
 
 def text_blocks(text: str, category: str, features: list[str], size: int = 5000) -> Pipeline:
@@ -132,17 +143,17 @@ def text_blocks(text: str, category: str, features: list[str], size: int = 5000)
     ])
 
 
-def text_risk(df: DataFrame, y: str, text: str, category: str, features: list[str], fold: str, k: int = 2) -> DataFrame:
+def text_risk(df: DataFrame, y: str, text: str, category: str, features: list[str], fold: str, k: int = 5) -> DataFrame:
     """df with `risk` from category, features and text, vocabulary and weights fitted on training folds only."""
-    out, keep = None, df.columns
-    for i in range(k):
-        train = df.where(F.col(fold) % k != i)
+    keep = df.columns
+
+    def one(train, test):
         blocks = text_blocks(text, category, features).fit(train)
         x = blocks.transform(train)
-        model = LogisticRegression(featuresCol="_x", labelCol=y, regParam=1.0 / max(train.count(), 1), maxIter=30).fit(x)
-        part = model.transform(blocks.transform(df.where(F.col(fold) % k == i))).withColumn("risk", vector_to_array("probability")[1]).select(*keep, "risk")
-        out = part if out is None else out.unionByName(part)
-    return out
+        model = LogisticRegression(featuresCol="_x", labelCol=y, regParam=1.0 / max(train.count(), 1), maxIter=5000).fit(x)
+        return model.transform(blocks.transform(test)).withColumn("risk", vector_to_array("probability")[1]).select(*keep, "risk")
+
+    return _by_fold(df, fold, k, one)
 
 
 def stack(df: DataFrame, y: str, risk: str, other: str, fold: str, group: str) -> DataFrame:
@@ -220,17 +231,26 @@ def noise_ceiling(units: DataFrame, share: str, epsilon: float, n_sim: int, seed
     return g.where("pairs > 0").select("sim", (F.col("concordant") / F.col("pairs")).alias("auroc"))
 
 
-def nested_selection(df: DataFrame, y: str, sets: dict[str, list[str]], fold: str, group: str, k: int = 3) -> DataFrame:
+def nested_selection(df: DataFrame, y: str, sets: dict[str, list[str]], fold: str, group: str, k: int = 5) -> DataFrame:
     """df with `chosen` and `risk`: in each outer fold the feature set with the best AUROC among out-of-fold risks inside
-    the training folds, refitted on all of them. Ties go to the first name."""
-    from runloom.operators.metrics import auroc
+    the training folds, refitted on all of them. Ties go to the first name.
 
-    def one(i: int) -> DataFrame:
-        train, test = df.where(F.col(fold) % k != i), df.where(F.col(fold) % k == i)
-        inner = train.withColumn("_in", F.pmod(F.xxhash64(group), F.lit(2)).cast("int"))
-        found = {name: auroc(out_of_fold(inner, y, f, "_in", group, k=2), y, "risk").first().auroc or 0.0 for name, f in sets.items()}
+    The inner folds are the training folds themselves and the AUROC is their average. Rows without a fold get the set
+    chosen over all folds.
+    """
+    from runloom.operators.metrics import group_pairs
+
+    def one(i: int | None) -> DataFrame:
+        train, test = (df.where(F.col(fold).isNotNull()), df.where(F.col(fold).isNull())) if i is None else (df.where(F.col(fold) != i), df.where(F.col(fold) == i))
+        folds = [j for j in range(k) if j != i]
+
+        def strength(name: str) -> float:
+            g = group_pairs(out_of_fold(train, y, sets[name], fold, group, folds=folds), y, "risk", fold).where("pairs > 0")
+            return g.agg(F.avg(F.col("concordant") / F.col("pairs"))).first()[0] or 0.0
+
+        found = {name: strength(name) for name in sets}
         best = min(found, key=lambda name: (-found[name], name))
         return predict(*fit_logistic(train, y, sets[best]), test, sets[best]).withColumn("chosen", F.lit(best))
 
-    with ThreadPool(k) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, range(k)))
+    orphans = [None] if df.where(F.col(fold).isNull()).limit(1).count() else []
+    return reduce(DataFrame.unionByName, [one(i) for i in [*range(k), *orphans]])  # the inner folds run side by side
