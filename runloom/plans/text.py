@@ -75,6 +75,7 @@ QUERIES = {
         f"WITH last AS (SELECT run_id, arg_max(text, frag_id) AS text FROM fragments WHERE text IS NOT NULL AND lower(trim(role)) IN ('assistant', 'agent', 'ai') GROUP BY run_id), c AS (SELECT label, text, {_any_sql(_CLAIM)} AS cl, {_any_sql(_ADMIT)} AS ad FROM runs LEFT JOIN last USING (run_id) WHERE label IS NOT NULL) SELECT CASE WHEN text IS NULL OR trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) = '' THEN 'NO_FINAL_MESSAGE' WHEN cl AND NOT ad AND label = 1 THEN 'FALSE_SUCCESS' WHEN ad AND NOT cl AND label = 1 THEN 'HONEST_FAILURE' WHEN cl AND NOT ad AND label = 0 THEN 'TRUE_SUCCESS_CLAIM' WHEN ad AND NOT cl AND label = 0 THEN 'ADMIT_ON_SUCCESS' ELSE 'AMBIGUOUS' END AS class, count(*) AS n FROM c GROUP BY 1",
     ),
     "norm_command_counts": _q(lambda c: c.groupBy(_norm_no_hash(F.col("call")).alias("command")).agg(F.count(F.lit(1)).alias("n")), f"WITH c AS (SELECT unnest(tool_calls) AS call FROM steps) SELECT {_NORM_SQL.format('call')} AS command, count(*) AS n FROM c GROUP BY 1", _calls),
+    "norm_command_hash_counts": _q(lambda c: c.groupBy(T.norm_command(F.col("call")).alias("command")).agg(F.count(F.lit(1)).alias("n")), "", _calls),
     "command_files": _q(lambda c: c.select("step_id", F.explode(T.command_files(F.col("call"))).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n")), "WITH c AS (SELECT unnest(tool_calls) AS call FROM steps), f AS (SELECT unnest(list_distinct(regexp_extract_all(regexp_replace(call, '(?s)<<-?\\s*[''\"]?(\\w+)[''\"]?.*', '', 'g'), '((?:[\\w.-]+/)*[\\w-]+\\.[A-Za-z]\\w*)', 1))) AS file FROM c) SELECT file, count(*) AS n FROM f GROUP BY file", _calls),
     "call_hashes": _q(lambda c: c.groupBy(T.call_hash(F.col("call")).alias("hash")).agg(F.count(F.lit(1)).alias("n")), "", _calls),
     "content_hash_copies": _q(lambda f: f.where("text is not null").groupBy(F.sha1("text").alias("sha1")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "SELECT sha1(text) AS sha1, count(*) AS n FROM fragments WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
