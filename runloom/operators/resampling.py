@@ -31,29 +31,71 @@ def poisson_weight(u: Column) -> Column:
     return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
 
 
-def cluster_bootstrap(stats: DataFrame, unit: str, num: str, den: str, model: str, n_draws: int) -> DataFrame:
-    """(model, estimate, lo, hi) of sum(num)/sum(den) over units; stats has one row per unit and model."""
+def cluster_bootstrap(stats: DataFrame, unit: str, num: str, den: str, model: str, n_draws: int, strata: str | None = None) -> DataFrame:
+    """(model, estimate, lo, hi) of sum(num)/sum(den) over units; stats has one row per unit and model. With strata (a
+    column of the units) the ratio is taken inside each stratum and averaged over those where it is defined."""
     w = draws(stats.select(unit).distinct(), unit, n_draws)
-    by = stats.join(w, unit).groupBy(model, "draw").agg((F.sum(F.col("w") * F.col(num)) / F.sum(F.col("w") * F.col(den))).alias("v"))
-    est = stats.groupBy(model).agg((F.sum(num) / F.sum(den)).alias("estimate"))
+    num_, den_ = F.sum(F.col("w") * F.col(num)), F.sum(F.col("w") * F.col(den))
+    if strata:
+        inside = stats.where(F.col(strata).isNotNull()).withColumn("w", F.lit(1.0))
+        by = stats.where(F.col(strata).isNotNull()).join(w, unit).groupBy(model, "draw", strata).agg(F.when(den_ > 0, num_ / den_).alias("v")).groupBy(model, "draw").agg(F.avg("v").alias("v"))
+        est = inside.groupBy(model, strata).agg(F.when(den_ > 0, num_ / den_).alias("v")).groupBy(model).agg(F.avg("v").alias("estimate"))
+    else:
+        by = stats.join(w, unit).groupBy(model, "draw").agg((num_ / den_).alias("v"))
+        est = stats.groupBy(model).agg((F.sum(num) / F.sum(den)).alias("estimate"))
     ci = by.groupBy(model).agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi"))
     return est.join(ci, model)
 
 
-def paired_difference(stats: DataFrame, unit: str, num: str, den: str, model: str, a: str, b: str, n_draws: int, alpha: float = 0.05, tests: int = 1) -> DataFrame:
-    """(difference, lo, hi, p_value, verdict): model a less model b on shared draws, interval at alpha / tests."""
+def _verdict(values: DataFrame, estimate: DataFrame, alpha: float, tests: int) -> DataFrame:
+    cut = alpha / tests / 2
+    ci = values.agg(F.percentile("v", cut).alias("lo"), F.percentile("v", 1 - cut).alias("hi"), ((F.count_if(F.col("v") <= 0) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    verdict = F.when(F.col("lo") > 0, "gain").when(F.col("hi") < 0, "loss").otherwise("not shown")
+    return estimate.join(ci).withColumn("verdict", verdict)
+
+
+def paired_difference(stats: DataFrame, unit: str, num: str, den: str, model: str, a: str, b: str, n_draws: int, alpha: float = 0.05, tests: int = 1, strata: str | None = None) -> DataFrame:
+    """(difference, lo, hi, p_value, verdict): model a less model b on shared draws, interval at alpha / tests. With strata
+    the difference is taken inside each stratum and averaged."""
     w = draws(stats.select(unit).distinct(), unit, n_draws)
 
     def ratio(m, weight):
         on = F.when(F.col(model) == m, weight)
-        return F.sum(on * F.col(num)) / F.sum(on * F.col(den))
+        below = F.sum(on * F.col(den))
+        return F.sum(on * F.col(num)) / (F.when(below > 0, below) if strata else below)
+
+    def less(weight):
+        return (ratio(a, weight) - ratio(b, weight)).alias("v")
 
-    diff = stats.join(w, unit).groupBy("draw").agg((ratio(a, F.col("w")) - ratio(b, F.col("w"))).alias("v"))
-    cut = alpha / tests / 2
-    ci = diff.agg(F.percentile("v", cut).alias("lo"), F.percentile("v", 1 - cut).alias("hi"), ((F.count_if(F.col("v") <= 0) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
     one = F.lit(1.0)
-    verdict = F.when(F.col("lo") > 0, "gain").when(F.col("hi") < 0, "loss").otherwise("not shown")
-    return stats.agg((ratio(a, one) - ratio(b, one)).alias("difference")).join(ci).withColumn("verdict", verdict)
+    if strata:
+        stats = stats.where(F.col(strata).isNotNull())
+        diff = stats.join(w, unit).groupBy("draw", strata).agg(less(F.col("w"))).groupBy("draw").agg(F.avg("v").alias("v")).where("v is not null")
+        est = stats.groupBy(strata).agg(less(one)).agg(F.avg("v").alias("difference"))
+    else:
+        diff = stats.join(w, unit).groupBy("draw").agg(less(F.col("w")))
+        est = stats.agg(less(one).alias("difference"))
+    return _verdict(diff, est, alpha, tests)
+
+
+def fold_auroc_difference(df: DataFrame, y: str, a: str, b: str, unit: str, fold: str, n_draws: int, alpha: float = 0.05, tests: int = 1) -> DataFrame:
+    """(difference, lo, hi, p_value, verdict) of the fold-averaged AUROC of score a less that of b, units drawn inside
+    their folds. Folds where a draw has one class only are left out of its average, draws without any fold of the rest.
+
+    Rows become counts per (unit, score) before they meet the draws; weighted counts are ranked once per fold and draw.
+    """
+    d = df.where(F.col(fold).isNotNull()).dropna(subset=[y, a, b])
+    units = d.select(unit).distinct()
+    w = draws(units, unit, n_draws).where("w > 0").unionByName(units.withColumn("draw", F.lit(-1)).withColumn("w", F.lit(1)))  # draw -1: the rows as they are
+    models = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate((a, b))])).alias("x")
+    cells = d.select(unit, fold, y, models).groupBy(unit, fold, "x.m", "x.v").agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    x = cells.join(w, unit).groupBy("draw", fold, "m", "v").agg(F.sum(F.col("w") * F.col("pos")).cast("double").alias("pos"), F.sum(F.col("w") * F.col("neg")).cast("double").alias("neg"))
+    up = Window.partitionBy("draw", fold, "m").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("below", F.sum("neg").over(up) - F.col("neg") / 2)
+    pairs = F.sum("pos") * F.sum("neg")
+    each = x.groupBy("draw", fold, "m").agg(F.when(pairs > 0, F.sum(F.col("pos") * F.col("below")) / pairs).alias("auroc"))
+    v = each.groupBy("draw").agg((F.avg(F.when(F.col("m") == 0, F.col("auroc"))) - F.avg(F.when(F.col("m") == 1, F.col("auroc")))).alias("v"))
+    return _verdict(v.where("draw >= 0 and v is not null"), v.where("draw = -1").select(F.col("v").alias("difference")), alpha, tests)
 
 
 def permutation_null(df: DataFrame, y: str, score: str, unit: str, tie: str, n_perm: int) -> DataFrame:

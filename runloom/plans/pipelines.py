@@ -112,7 +112,7 @@ def variance_shares_glmm(spark, d):
 
 def noise_ceiling(spark, d):
     units = scored(spark, d).groupBy("task_id").agg(F.avg("y").alias("share"))
-    return rounded(L.noise_ceiling(units, "share", 0.05, 50).agg(F.avg("auroc").alias("ceiling"), F.count(F.lit(1)).alias("sims")))
+    return rounded(L.noise_ceiling(units, "share", 0.05, 200).agg(F.avg("auroc").alias("ceiling"), F.count(F.lit(1)).alias("sims")))
 
 
 def report_labels(spark, d):
@@ -213,7 +213,7 @@ def flat_settings(spark, d):
 
 def error_share_interval(spark, d):
     r = load(spark, d, "steps", "step_id", "task_id", "error").where("error is not null").withColumn("v", F.col("error").cast("int")).withColumn("w", F.lit(1.0))
-    return rounded(B.row_bootstrap(r, "step_id", "task_id", "v", "w", 100))
+    return rounded(B.row_bootstrap(r, "step_id", "task_id", "v", "w", 1000))
 
 
 def segment_after_last_edit(spark, d):
