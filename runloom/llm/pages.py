@@ -16,6 +16,7 @@ _BULLET = re.compile(r"(?:[-*•·+]|\d{1,4}[.)])\s")
 _SEPARATORS = ",;|•·/#—"
 
 # fixed values: words by which notices under a mail are known, in lower case
+SHORT = 120  # characters of a paragraph that is a notice however it is put
 NOTICES = (
     "confidential", "privileged", "vertraulich", "confidentiel", "disclaimer", "addressee", "empfänger", "destinataire", "destinatario", "unsubscribe", "by mistake", "in error",
     "views in this mail", "you get this mail", "you receive this mail", "no contract is formed", "before you print", "is registered in", "scanned for harmful", "accept no liability",
@@ -66,12 +67,18 @@ def own_text(raw: str | None) -> tuple[list[list[str]], int]:
             if n <= 5 and (_GREETING.match(" ".join(p)) or (n <= 2 and all(x.replace(" ", "").isalpha() for x in p))):
                 continue
             low = " ".join(p).lower()
-            if n > 4 and any(x in low for x in NOTICES):
+            if n > 4 and any(x in low for x in NOTICES) and _reads(p):
                 continue
         kept.append(p)
     return kept, linked
 
 
+def _reads(lines: list[str]) -> bool:
+    """Whether a paragraph is short, or at least half of it reads as sentences: a heap with a notice's word is no notice."""
+    size = sum(map(len, lines))
+    return size <= SHORT or sum(len(u) for u, ok in units(lines) if ok) >= size / 2
+
+
 def units(lines: list[str]) -> list[tuple[str, bool]]:
     """(unit, whether it reads as a sentence). List items and lines with links stand alone, other lines run on.
 
