@@ -24,7 +24,6 @@ _ANCHOR = re.compile(r"(?i)<a\s[^<>]*href")
 _BREAK = re.compile(r"(?i)</?(?:p|br|div|li|ul|ol|tr|td|th|table|tbody|thead|h[1-6]|hr|blockquote|pre|body|html|section|article|header|footer|dt|dd|dl)\b[^<>]*>")
 _TAG = re.compile(r"<[!?/]?[A-Za-z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
-MAX_DEPTH = 16
 
 
 def _decode_bytes(data: bytes, charset: str) -> str:
@@ -85,23 +84,26 @@ def _split(message: str) -> tuple[str, str]:
 
 
 def leaf_parts(raw: str | None) -> list[tuple[str, bool, str]]:
-    """(media type, attached, decoded body) of every leaf part that holds text, in order. Binary parts are left out."""
+    """(media type, attached, decoded body) of every leaf part that holds text, in order. Binary parts are left out.
+
+    However deep parts lie: an inner part is shorter than its message by a head or a boundary, so the walk ends.
+    """
     if not raw:
         return []
-    out, stack = [], [(raw.replace("\r\n", "\n").replace("\r", "\n"), False, 0)]
+    out, stack = [], [(raw.replace("\r\n", "\n").replace("\r", "\n"), False)]
     while stack:
-        message, attached, depth = stack.pop()
+        message, attached = stack.pop()
         head, body = _split(message)
         kind, tail = m.groups() if (m := _CTYPE.search(head)) else ("text/plain", "")
         kind = kind.strip("\"' ").lower() or "text/plain"
         attached = attached or bool((d := _DISPOSITION.search(head)) and d[1].lower() == "attachment")
-        if depth < MAX_DEPTH and kind.startswith("multipart/") and (b := _BOUNDARY.search(tail)):
+        if kind.startswith("multipart/") and (b := _BOUNDARY.search(tail)):
             pieces = re.split(r"(?m)^--" + re.escape(b[1] or b[2]) + r"(--)?[ \t]*$\n?", body)
             if len(pieces) > 1:
                 inner = []
                 for i in range(2, len(pieces), 2):
                     if pieces[i - 1] is None:
-                        inner.append((pieces[i], attached, depth + 1))
+                        inner.append((pieces[i], attached))
                 stack.extend(reversed(inner))
                 continue
             kind = "text/plain"
@@ -112,8 +114,8 @@ def leaf_parts(raw: str | None) -> list[tuple[str, bool, str]]:
             continue
         charset = c[1] if (c := _CHARSET.search(tail)) else "utf-8"
         body = _transfer_decode(body, encoding, charset)
-        if kind == "message/rfc822" and depth < MAX_DEPTH:
-            stack.append((body.replace("\r\n", "\n").lstrip("\n"), attached, depth + 1))
+        if kind == "message/rfc822":
+            stack.append((body.replace("\r\n", "\n").lstrip("\n"), attached))
             continue
         out.append((kind, attached, body.replace("\r\n", "\n").replace("\r", "\n") if "\r" in body else body))
     return out

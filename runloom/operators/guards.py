@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom import scratch
 from runloom.operators import shred
 
 
@@ -28,15 +31,29 @@ SECRET = r"(?i)(?:key|token|secret|password)$"
 def flat_settings(df: DataFrame, record_id: str, body: str) -> DataFrame:
     """(record_id, path, value): dotted paths of the scalars of nested records; values of secret names are masked.
 
-    Paths grow level by level over the adjacency table, at most 32 levels; list places count from 0.
+    Paths grow along each record's walk, to any depth that can be read; list places count from 0.
     """
-    nodes = scratch.table(shred.shred(df, record_id, body), "nodes")
-    at = nodes.where("node = 0").select("record_id", "node", F.lit("").alias("path"), "kind", "scalar")
-    out = at.where("kind not in ('object', 'array')")
-    for _ in range(32):
-        up = at.where("kind in ('object', 'array')").select("record_id", F.col("node").alias("parent"), F.col("path").alias("above"))
-        if not up.limit(1).count():
-            break
-        at = scratch.table(nodes.join(up, ["record_id", "parent"]).select("record_id", "node", F.concat_ws(".", F.when(F.col("above") != "", F.col("above")), F.coalesce("label", F.col("ord").cast("string"))).alias("path"), "kind", "scalar"), "paths")
-        out = out.union(at.where("kind not in ('object', 'array')"))
-    return out.select(F.col("record_id"), "path", F.when(F.col("path").rlike(SECRET), "***").otherwise(F.col("scalar")).alias("value"))
+
+    def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(20_000)
+        for batch in batches:
+            rows = []
+            for rid, text in zip(batch["record_id"], batch["body"]):
+                if text is None or (value := shred.read_value(text)) is None:
+                    continue
+                above: dict[int, str] = {}
+                for node, parent, label, ord_, kind, scalar, _ in shred.walk(value):
+                    name = "" if parent < 0 else str(ord_) if label is None else label
+                    path = f"{above[parent]}.{name}" if above.get(parent) else name
+                    if kind in ("object", "array"):
+                        above[node] = path
+                    else:
+                        rows.append((rid, path, scalar))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["record_id", "path", "scalar"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["record_id", "path", "scalar"])
+
+    bodies = df.select(F.col(record_id).cast("long").alias("record_id"), F.col(body).cast("string").alias("body")).where("record_id is not null")
+    out = bodies.mapInPandas(paths, "record_id long, path string, scalar string")
+    return out.select("record_id", "path", F.when(F.col("path").rlike(SECRET), "***").otherwise(F.col("scalar")).alias("value"))
