@@ -109,6 +109,20 @@ WITH RECURSIVE pairs AS (
 links AS (SELECT a, b FROM pairs WHERE a <> b AND a <> '' AND b <> '' UNION SELECT b, a FROM pairs WHERE a <> b AND a <> '' AND b <> ''),
 reach(run_id, other) AS (SELECT a, a FROM links UNION SELECT r.run_id, l.b FROM reach r JOIN links l ON l.a = r.other)
 SELECT run_id, min(other) AS group_id FROM reach GROUP BY run_id"""
+    orders = f"""
+WITH e AS (SELECT run_id, pos, min(lower(trim(tool, E' \\t\\n\\r'))) AS tool FROM steps WHERE {_ASSISTANT} AND run_id IS NOT NULL AND pos IS NOT NULL AND trim(tool, E' \\t\\n\\r') <> '' GROUP BY run_id, pos),
+least AS (SELECT (count(DISTINCT run_id) * 50000 + 999999) // 1000000 AS n FROM steps),
+o1 AS (SELECT run_id, [tool] AS p, min(pos) AS ends FROM e GROUP BY run_id, tool),
+f1 AS (SELECT p, count(*) AS support FROM o1 GROUP BY p HAVING count(*) >= (SELECT n FROM least))"""
+    for k in range(2, 7):
+        orders += f""",
+o{k} AS (SELECT o.run_id, list_append(o.p, e.tool) AS p, min(e.pos) AS ends FROM o{k - 1} o JOIN f{k - 1} USING (p) JOIN e ON e.run_id = o.run_id AND e.pos > o.ends GROUP BY o.run_id, o.p, e.tool),
+f{k} AS (SELECT p, count(*) AS support FROM o{k} GROUP BY p HAVING count(*) >= (SELECT n FROM least))"""
+    p3 = orders + """,
+longer AS (SELECT p, support FROM f4 UNION ALL SELECT p, support FROM f5 UNION ALL SELECT p, support FROM f6),
+open_ AS (SELECT DISTINCT list_concat(p[1:i - 1], p[i + 1:]) AS p, support FROM longer, unnest(range(1, len(p) + 1)) AS t(i)),
+found AS (SELECT p, support FROM f3 UNION ALL SELECT p, support FROM f4 UNION ALL SELECT p, support FROM f5)
+SELECT array_to_string(f.p, '>') AS event_pattern, f.support, o.p IS NULL AS closed FROM found f LEFT JOIN open_ o ON o.p = f.p AND o.support = f.support"""
     p4 = f"""
 WITH raw AS (SELECT run_id, step_idx, frag_idx, {_ROLE} AS r0, text, CASE WHEN frag_idx IS NULL THEN created_at END AS made, {_BLANK.format('role')} AS no_role, {_BLANK.format('text')} AS empty FROM fragments WHERE run_id IS NOT NULL),
 m AS (SELECT DISTINCT run_id, step_idx, frag_idx, CASE WHEN r0 IN ('agent', 'ai') THEN 'assistant' WHEN r0 = 'human' THEN 'user' WHEN r0 IN ('observation', 'function') THEN 'tool' ELSE r0 END AS role, text, made, no_role, empty FROM raw),
@@ -128,6 +142,8 @@ g AS (SELECT pred_id, min(pred_id) OVER (PARTITION BY key) AS pred_id_first, cou
     return {
         "p1_found": p1,
         "p2_found": p2,
+        "p3_found": f"SELECT event_pattern FROM ({p3})",
+        "p3_supports": p3,
         "p4_found": p4,
         "p7_found": p7 + "SELECT pred_id_first, pred_id AS pred_id_copy FROM g WHERE pred_id <> pred_id_first",
         "p7_copies": p7 + "SELECT pred_id, pred_id_first AS first_id, copies FROM g",

@@ -2,6 +2,7 @@ import itertools
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,9 +29,37 @@ def test_patterns_against_brute_force(spark, seed, monkeypatch):
                 want[p] = c
     got = {tuple(r.pattern): r.support for r in subsequences.frequent_subsequences(d, share=0.2, total=n, shortest=2, longest=4).collect()}
     assert got == want
-    closed = {tuple(r.pattern): r.support for r in subsequences.frequent_subsequences(d, share=0.2, total=n, shortest=2, longest=4, closed_only=True).collect()}
-    # supports of all patterns are recoverable from the closed ones
-    assert all(max(s for q, s in closed.items() if contains(q, p)) == c for p, c in want.items())
+    closed = {tuple(r.pattern) for r in subsequences.frequent_subsequences(d, share=0.2, total=n, shortest=2, longest=4, closed_only=True).collect()}
+    more = {p: c for k in (5,) for p in itertools.product("abcd", repeat=k) if (c := sum(contains([x for x in s or [] if x], p) for s in seqs))}
+    longer = want | more
+    assert closed == {p for p, c in want.items() if not any(s == c and len(q) == len(p) + 1 and contains(q, p) for q, s in longer.items())}
+
+
+def block_of(seqs, n_items):
+    return subsequences.Block(np.array([x for s in seqs for x in s], np.int32), np.cumsum([0, *map(len, seqs)]), n_items)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_backscan_prunes_the_search(seed):
+    rng = random.Random(seed)
+    # a common thread with noise between its steps gives many patterns that are not closed
+    seqs = [[y for x in (0, 1, 2, 3, 1) for y in ([rng.choice((3, 4))] if rng.random() < 0.2 else []) + ([x] if x < 2 or rng.random() < 0.8 else [])] for _ in range(30)]
+    seqs = [s[s.index(0) :] for s in seqs if 0 in s]
+    block = block_of(seqs, 5)
+    least = 6
+    pruned, full = subsequences.closed_patterns(block, 0, least), subsequences.closed_patterns(block, 0, least, backscan=False)
+    assert dict(zip(map(tuple, pruned[0]), pruned[1])) == dict(zip(map(tuple, full[0]), full[1]))
+    assert pruned[2] < full[2]
+    # without backscan everything frequent is visited; all of it is recovered from the closed patterns
+    found, support = subsequences.recovered(pruned[0], pruned[1], 5, 1, 99)
+    assert len(found) == full[2] and all(s == sum(contains(x, p) for x in seqs) for p, s in zip(found, support))
+    assert subsequences.count_patterns(block, sorted(map(tuple, found))) == [s for _, s in sorted(zip(map(tuple, found), support))]
+
+
+def test_long_equal_sequences(spark):
+    d = spark.createDataFrame([(i, ["a", "b", "c"] * 20) for i in range(30)] + [(99, ["z"])], "id long, events array<string>").withColumn("first", F.lit("clash"))
+    out = subsequences.frequent_subsequences(d, share=0.5).collect()
+    assert len(out) == 27 + 81 + 243 and all(r.support == 30 and not r.closed for r in out)
 
 
 def test_no_sequences(spark):
