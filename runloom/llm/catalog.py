@@ -124,16 +124,17 @@ open_ AS (SELECT DISTINCT list_concat(p[1:i - 1], p[i + 1:]) AS p, support FROM
 found AS (SELECT p, support FROM f3 UNION ALL SELECT p, support FROM f4 UNION ALL SELECT p, support FROM f5)
 SELECT array_to_string(f.p, '>') AS event_pattern, f.support, o.p IS NULL AS closed FROM found f LEFT JOIN open_ o ON o.p = f.p AND o.support = f.support"""
     p4 = f"""
-WITH raw AS (SELECT run_id, step_idx, frag_idx, {_ROLE} AS r0, text, CASE WHEN frag_idx IS NULL THEN created_at END AS made, {_BLANK.format('role')} AS no_role, {_BLANK.format('text')} AS empty FROM fragments WHERE run_id IS NOT NULL),
-m AS (SELECT DISTINCT run_id, step_idx, frag_idx, CASE WHEN r0 IN ('agent', 'ai') THEN 'assistant' WHEN r0 = 'human' THEN 'user' WHEN r0 IN ('observation', 'function') THEN 'tool' ELSE r0 END AS role, text, made, no_role, empty FROM raw),
-o AS (SELECT *, row_number() OVER (PARTITION BY run_id, step_idx ORDER BY frag_idx, made) AS k FROM m),
+WITH raw AS (SELECT frag_id, run_id, step_idx, frag_idx, {_ROLE} AS r0, text, CASE WHEN frag_idx IS NULL THEN created_at END AS made, {_BLANK.format('role')} AS no_role, {_BLANK.format('text')} AS empty FROM fragments WHERE run_id IS NOT NULL),
+m AS (SELECT min(frag_id) AS frag_id, run_id, step_idx, frag_idx, CASE WHEN r0 IN ('agent', 'ai') THEN 'assistant' WHEN r0 = 'human' THEN 'user' WHEN r0 IN ('observation', 'function') THEN 'tool' ELSE r0 END AS role, text, made, no_role, empty FROM raw GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id, step_idx ORDER BY frag_idx, made, frag_id) AS k FROM m),
 s AS (SELECT run_id, step_idx,
         bool_or(no_role OR step_idx IS NULL) OR (count(frag_idx) > 0 AND (count(frag_idx) < count(*) OR min(frag_idx) <> 0 OR max(frag_idx) <> count(*) - 1 OR count(DISTINCT frag_idx) < count(*)))
           OR max(CASE WHEN role = 'assistant' AND NOT empty THEN k END) IS NULL
           OR coalesce(max(CASE WHEN role = 'user' THEN k END), -1) > max(CASE WHEN role = 'assistant' AND NOT empty THEN k END) AS bad,
         bool_or(step_idx = 0 AND role = 'user' AND NOT empty) AS asked
-      FROM o GROUP BY run_id, step_idx)
-SELECT run_id FROM s GROUP BY run_id HAVING bool_or(bad) OR NOT coalesce(bool_or(asked), false) OR min(step_idx) <> 0 OR max(step_idx) <> count(*) - 1"""
+      FROM o GROUP BY run_id, step_idx),
+dropped AS (SELECT run_id FROM s GROUP BY run_id HAVING bool_or(bad) OR NOT coalesce(bool_or(asked), false) OR min(step_idx) <> 0 OR max(step_idx) <> count(*) - 1)
+"""
     p7 = """
 WITH one AS (SELECT pred_id, json_extract_string(pred_json, '$.*.*') AS any_, json_extract(pred_json, '$.*')[1] AS r FROM preds),
 k AS (SELECT pred_id, [regexp_replace(lower(coalesce(json_extract_string(r, '$.' || f), '')), '[^\\p{L}\\p{N}]+', '', 'g') FOR f IN ['instance_id', 'model_name_or_path', 'model_patch']] AS key FROM one),
@@ -144,7 +145,8 @@ g AS (SELECT pred_id, min(pred_id) OVER (PARTITION BY key) AS pred_id_first, cou
         "p2_found": p2,
         "p3_found": f"SELECT event_pattern FROM ({p3})",
         "p3_supports": p3,
-        "p4_found": p4,
+        "p4_found": p4 + "SELECT run_id FROM dropped",
+        "p4_conversations": p4 + "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step_idx, k) - 1 AS turn, step_idx, role, text, frag_id FROM o ANTI JOIN dropped USING (run_id)",
         "p7_found": p7 + "SELECT pred_id_first, pred_id AS pred_id_copy FROM g WHERE pred_id <> pred_id_first",
         "p7_copies": p7 + "SELECT pred_id, pred_id_first AS first_id, copies FROM g",
     }

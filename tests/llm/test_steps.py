@@ -91,7 +91,9 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", sorted(CASES))
-def test_broken_conversations(spark, name):
+def test_broken_conversations(spark, name, monkeypatch):
+    monkeypatch.setattr(conversations, "STEPS", 1 + len(name) % 3)
+    monkeypatch.setattr(conversations, "CHUNK", 1 + len(name) % 2)
     d = messages(spark, GOOD + CASES[name])
     assert {r.run_id for r in conversations.broken(conversations.conversation_faults(d)).collect()} == {"x"}
 
@@ -103,6 +105,60 @@ def test_whole_conversations(spark):
     assert conversations.rebuild(messages(spark, [])).count() == 0 and conversations.conversation_faults(messages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("steps,chunk", [(1, 1), (2, 3), (3, 64)])
+def test_long_conversations(spark, steps, chunk, monkeypatch):
+    monkeypatch.setattr(conversations, "STEPS", steps)
+    monkeypatch.setattr(conversations, "CHUNK", chunk)
+    long = [("long", i // 5, i % 5 if i // 5 % 2 else None, "ai" if i % 5 else "user", "same words", i) for i in range(65)]
+    holed = [("holed", *r[1:]) for r in long if r[1:3] != (7, 2)]
+    rows = holed + long
+    random.Random(1).shuffle(rows)
+    out = conversations.rebuild(messages(spark, rows)).orderBy("turn").collect()
+    assert [(r.run_id, r.turn, r.step_idx, r.role) for r in out] == [("long", i, i // 5, "assistant" if i % 5 else "user") for i in range(65)]
+
+
+def exports(spark, rows):
+    return spark.createDataFrame([(c, i, m) for c, i, m in rows], "conversation string, id long, messages array<long>").withColumn("path", F.lit("clash"))
+
+
+def paths(df, longest=None):
+    return {r.id: (r.path, r.shift) for r in conversations.assemble(df, longest).collect()}
+
+
+def test_order_from_overlaps_alone(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    ids = rng.sample(range(10_000), 400)
+    for c in ("x", "y"):
+        text = [rng.randrange(40) for _ in range(300)]  # messages are said again and again
+        at, end, head = 0, 0, None
+        while end < len(text):
+            i, end = ids.pop(), max(end + 1, at + rng.randrange(14, 20))
+            head = i if head is None else head
+            rows.append((c, i, text[at:end]))
+            want[i] = (head, at)
+            at += rng.randrange(3, end - at - 6)  # overlaps of seven messages and more
+    rng.shuffle(rows)
+    assert paths(exports(spark, rows)) == want
+
+
+def test_ambiguous_overlaps_do_not_merge(spark):
+    fork = [("f", 1, [1, 2, 3]), ("f", 2, [3, 4]), ("f", 3, [3, 5]), ("f", 4, [5, 6])]
+    assert paths(exports(spark, fork)) == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (3, 1)}
+    circle = [("c", 1, [1, 2]), ("c", 2, [2, 3]), ("c", 3, [3, 1]), ("d", 4, [1, 2]), ("d", 5, [7, 7])]
+    for longest in (None, 1):
+        assert paths(exports(spark, circle), longest) == {1: (None, None), 2: (None, None), 3: (None, None), 4: (4, 0), 5: (5, 0)}
+    # the longest match decides: 1 goes on in 2, though 3 begins with its last message
+    longer = [("l", 1, [1, 2, 3]), ("l", 2, [2, 3, 4]), ("l", 3, [3, 9])]
+    assert paths(exports(spark, longer)) == {1: (1, 0), 2: (1, 1), 3: (3, 0)}
+    assert paths(exports(spark, [])) == {} and paths(exports(spark, [("e", 1, [])])) == {1: (1, 0)}
+
+
+def test_contained_exports(spark):
+    rows = [("a", 1, [1, 2, 3]), ("a", 2, [1, 2, 3]), ("a", 3, [1, 2]), ("a", 4, [3]), ("a", 5, [2]), ("b", 6, [1, 2]), ("a", 7, [3, 4])]
+    assert sorted(r.id for r in conversations.without_contained(exports(spark, rows)).collect()) == [1, 5, 6, 7]
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 4096])
 def test_stretches_across_chunks(spark, chunk, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", chunk)
