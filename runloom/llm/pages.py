@@ -18,8 +18,8 @@ _SEPARATORS = ",;|•·/#—"
 # fixed values: words by which notices under a mail are known, in lower case
 SHORT = 120  # characters of a paragraph that is a notice however it is put
 NOTICES = (
-    "confidential", "privileged", "vertraulich", "confidentiel", "disclaimer", "addressee", "empfänger", "destinataire", "destinatario", "unsubscribe", "by mistake", "in error",
-    "views in this mail", "you get this mail", "you receive this mail", "no contract is formed", "before you print", "is registered in", "scanned for harmful", "accept no liability",
+    "confidential", "privileged", "vertraulich", "confidentiel", "confidencial", "disclaimer", "addressee", "intended recipient", "empfänger", "destinataire", "destinatario",
+    "unsubscribe", "by mistake", "in error", "liability",
 )
 # fixed values: common function words of English, German, French and Spanish
 FUNCTION_WORDS = frozenset(
@@ -28,10 +28,10 @@ FUNCTION_WORDS = frozenset(
     between above below before after against across around towards near is are was were be been will would could should
     must can may do does did not it he she they we you i who which what how there here have has had as than
     der die das ein eine einen dem den des und oder aber wir ich ihr sie unser jeder dieser ist war nicht mit ohne bei bis
-    auf an am im dass zu von für noch heute bitte haben hinter neben gegen unter geprüft blieb
+    auf an am im dass zu von für noch heute bitte haben hinter neben gegen unter
     le la les un une des du de et ou mais nous vous il elle notre votre chaque cette ce est sera ne pas que avec avant après
-    par pour dans sur je merci reste
-    el los las una y o pero nuestro nuestra cada esta este está será por favor con antes después hemos creo sigue en al""".split()
+    par pour dans sur je
+    el los las una y o pero nuestro nuestra cada esta este está será por favor con antes después hemos en al""".split()
 )
 
 

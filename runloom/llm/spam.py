@@ -32,15 +32,17 @@ def page_features(documents: DataFrame) -> DataFrame:
 
 
 def weak_label(votes_needed: int = 2):
-    """1 for a page that votes_needed of the rules call stuffed, 0 for one that reads as running text, else null."""
-    votes = sum((F.when(c, 1).otherwise(0) for c in (
-        F.col("heap_share") > 0.8,
-        F.col("function_words") < 0.12,
-        (F.col("separators") > 0.35) | (F.col("links") > 0.08) | (F.col("top_word") > 0.15) | (F.col("repeated_lines") > 0.6),
-    )), F.lit(0))
-    stuffed = (votes >= votes_needed) & (F.col("heap_share") > 0.5)
-    running = (F.col("heap_share") < 0.4) & (F.col("function_words") > 0.2)
-    return F.when(stuffed, 1).when(running, 0)
+    """1 for a page that votes_needed of the rules call stuffed, 0 for one that none does and that is rich in function
+    words, else null. The rules look at counts of words, separators, links and lines, never at how much of a page is heaps."""
+    rules = (
+        F.col("function_words") < 0.2,
+        F.col("separators") > 0.35,
+        (F.col("links") > 0.08) | (F.col("anchors") > 0.08),
+        F.col("top_word") > 0.15,
+        F.col("repeated_lines") > 0.6,
+    )
+    votes = sum((F.when(c, 1).otherwise(0) for c in rules), F.lit(0))
+    return F.when(votes >= votes_needed, 1).when((votes == 0) & (F.col("function_words") > 0.3), 0)
 
 
 def score_pages(pages: DataFrame, *, trees: int = 20, depth: int = 5, sample: int = 5_000, host_weight: float = 0.2, host_prior: float = 20.0, seed: int = 7) -> DataFrame:
@@ -49,10 +51,12 @@ def score_pages(pages: DataFrame, *, trees: int = 20, depth: int = 5, sample: in
     Trees are bagged on at most `sample` weakly labelled pages of each label (the bound on what is fitted), taken by the
     hash of doc_id; every page is scored. A host's rate is the mean score of all its pages, drawn to the overall mean as
     by host_prior more pages; score = (1 - host_weight) * page_score + host_weight * host_rate. If only one label
-    occurs, the weak label, or else the heap share, stands for the trees' score. Empty input gives no rows.
+    occurs, the weak label, or else the heap share, stands for the trees' score. A page without text of its own is not
+    fitted on and has page_score 0. Empty input gives no rows.
     """
     pages = scratch.table(pages, "pages")
-    labelled = pages.withColumn("label", weak_label().cast("double")).where("label is not null")
+    blank = F.col("distinct") == 0
+    labelled = pages.where(~blank).withColumn("label", weak_label().cast("double")).where("label is not null")
     order = F.xxhash64("doc_id", F.lit(seed))
     parts = [labelled.where(F.col("label") == x).orderBy(order, "doc_id").limit(sample) for x in (0.0, 1.0)]
     drawn = scratch.table(parts[0].union(parts[1]).coalesce(2), "drawn")
@@ -64,14 +68,13 @@ def score_pages(pages: DataFrame, *, trees: int = 20, depth: int = 5, sample: in
         scored = model.transform(assembler.transform(pages)).withColumn("page_score", vector_to_array("probability")[1])
     else:
         scored = pages.withColumn("page_score", F.coalesce(weak_label().cast("double"), F.col("heap_share")))
-    scored = scratch.table(scored.select("doc_id", "host", "heap_share", "page_score"), "scores")
+    scored = scratch.table(scored.select("doc_id", "host", "heap_share", F.when(blank, 0.0).otherwise(F.col("page_score")).alias("page_score")), "scores")
     scratch.forget(drawn, pages)
-    overall = F.broadcast(scored.agg(F.avg("page_score").alias("mean")))  # one row
-    hosts = scored.groupBy("host").agg(F.sum("page_score").alias("s"), F.count(F.lit(1)).alias("n")).join(overall)
-    hosts = hosts.select("host", ((F.col("s") + host_prior * F.col("mean")) / (F.col("n") + host_prior)).alias("host_rate"))
+    mean = scored.agg(F.avg("page_score")).first()[0] or 0.0
+    hosts = scored.groupBy("host").agg(((F.sum("page_score") + host_prior * mean) / (F.count(F.lit(1)) + host_prior)).alias("host_rate"))
     return scored.join(hosts, "host").select("doc_id", "host", "heap_share", "page_score", "host_rate", ((1 - host_weight) * F.col("page_score") + host_weight * F.col("host_rate")).alias("score"))
 
 
 def stuffed_pages(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Scored pages over the threshold whose heaps are, exactly counted, most characters of their own text."""
-    return score_pages(page_features(documents)).where((F.col("score") >= threshold) & (F.col("heap_share") > 0.5))
+    """Pages whose score, that of the trees smoothed by the host's rate, reaches the threshold; nothing else decides."""
+    return score_pages(page_features(documents)).where(F.col("score") >= threshold)

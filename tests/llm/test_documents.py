@@ -164,6 +164,18 @@ def test_stuffed_pages(spark):
     assert spam.score_pages(spam.page_features(d)).count() == d.count()
 
 
+def test_trees_decide_and_hosts_smooth(spark):
+    """Pages that the rules leave unlabelled are decided by the trees; a host's other pages move a score by their rate."""
+    d = pages_frame(spark)
+    pages_ = spam.page_features(d).withColumn("weak", spam.weak_label()).cache()
+    s = spam.score_pages(pages_.drop("weak")).join(pages_.select("doc_id", "weak"), "doc_id").cache()
+    assert {(r.weak, r.page_score >= 0.5) for r in s.where("weak is not null").collect()} == {(0, False), (1, True)}
+    rates = {r.host: r.host_rate for r in s.collect()}
+    assert rates["bad.example"] > rates["good.example"]
+    assert all(abs(r.score - 0.8 * r.page_score - 0.2 * r.host_rate) < 1e-9 for r in s.collect())
+    assert all(r.page_score == 0 for r in s.where("doc_id in (200, 201)").collect())
+
+
 def test_stuffed_pages_with_one_label_or_none(spark):
     d = pages_frame(spark)
     assert spam.stuffed_pages(d.where("doc_id < 40")).count() == 0

@@ -155,8 +155,8 @@ def test_ambiguous_overlaps_do_not_merge(spark):
 
 
 def test_contained_exports(spark):
-    rows = [("a", 1, [1, 2, 3]), ("a", 2, [1, 2, 3]), ("a", 3, [1, 2]), ("a", 4, [3]), ("a", 5, [2]), ("b", 6, [1, 2]), ("a", 7, [3, 4])]
-    assert sorted(r.id for r in conversations.without_contained(exports(spark, rows)).collect()) == [1, 5, 6, 7]
+    rows = [("a", 1, [1, 2, 3]), ("a", 2, [1, 2, 3]), ("a", 3, [1, 2]), ("a", 4, [3]), ("a", 5, [2]), ("b", 6, [1, 2]), ("a", 7, [3, 4]), ("a", 8, [2, 3, 9, 4]), ("a", 9, [9, 4])]
+    assert sorted(r.id for r in conversations.without_contained(exports(spark, rows)).collect()) == [1, 6, 7, 8]
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 4096])
