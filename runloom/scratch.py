@@ -6,12 +6,12 @@ temporary folder, as in tests; a cluster session without one is refused, as its
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
-import atexit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def counted(df: DataFrame, of: Column, label: str = "t") -> tuple[DataFrame, int]:
+    """table(), and the value of an aggregate taken while it is written, without a second job."""
+    seen = Observation()
+    out = table(df.observe(seen, of.alias("n")), label)
+    return out, seen.get["n"] or 0
+
+
 def table(df: DataFrame, label: str = "t", files: int | None = None) -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back: a fixed result without lineage."""
     spark = df.sparkSession
