@@ -24,19 +24,37 @@ def union_find(pairs):
 
 
 @pytest.mark.parametrize("kind", ["random", "chain", "star", "empty"])
-def test_components(spark, kind):
+@pytest.mark.parametrize("one_task", [5, 5_000])
+def test_components(spark, kind, one_task, monkeypatch):
+    monkeypatch.setattr(groups, "ONE_TASK", one_task)
     rng = random.Random(7)
     pairs = {
         "random": [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(260)] + [(None, "a"), ("b", None), ("c", "c")],
-        "chain": [(f"{i:05}", f"{i + 1:05}") for i in range(700)],
+        "chain": [(f"{i:05}", f"{i + 1:05}") for i in range(120)],
         "star": [("hub", f"leaf{i}") for i in range(600)] * 2 + [(f"leaf{i}", "hub") for i in range(50)],
         "empty": [],
     }[kind]
     d = spark.createDataFrame([(a, b, 1, "x") for a, b in pairs], "a string, b string, node int, group_id string")
-    got = {r.node: r.group_id for r in groups.connected_groups(d, "a", "b", last_edges=5).collect()}
+    got = {r.node: r.group_id for r in groups.connected_groups(d, "a", "b").collect()}
     assert got == union_find(pairs)
 
 
+def test_clusters_are_connected_and_shallow(spark):
+    n, beta = 400, 0.5
+    edges = [(i, i + 1) for i in range(n - 1)]
+    of = {r.v: r.c for r in groups.clusters(spark.createDataFrame(edges, "s long, d long"), 0, beta).collect()}
+    assert set(of) == set(range(n)) and len(set(of.values())) > 10  # one level does not settle a long chain
+    for c in set(of.values()):
+        members = sorted(v for v in of if of[v] == c)
+        assert members == list(range(members[0], members[-1] + 1)) and c in members
+    assert max(abs(v - c) for v, c in of.items()) <= 4 * np.log(n) / beta
+    # one task decomposes exactly as all tasks together do
+    rng = random.Random(3)
+    mixed = [(rng.randrange(150), 1000 + rng.randrange(150)) for _ in range(200)]
+    assert groups.grow(edges, 0, beta) == of
+    assert groups.grow(mixed, 2, 0.2) == {r.v: r.c for r in groups.clusters(spark.createDataFrame(mixed, "s long, d long"), 2, 0.2).collect()}
+
+
 def test_pairs_of_runs(spark):
     rows = [(" A ", "b", "Same "), ("b", "B", "same"), ("c", None, "same"), ("c", "d", "unsure"), ("e", "f", None), ("", "g", "same"), ("a", "z", "SAME")]
     d = groups.same_pairs(spark.createDataFrame(rows, "run_id_a string, run_id_b string, verdict string"))
