@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom import scratch
 from runloom.io import load
 from runloom.llm import conversations, copies, groups, leaks, packing, repeats, spam, splits, subsequences
 
@@ -26,6 +27,10 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return _records(spark, folder)[0].select("kind", "row_id", "group_id", "bin", "split")
 
 
+def p1_balance(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.balance(_records(spark, folder)[0])
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = groups.same_pairs(load(spark, folder, "run_pairs", "run_id_a", "run_id_b", "verdict"))
     return groups.connected_groups(pairs, "a", "b").withColumnRenamed("node", "run_id")
@@ -73,6 +78,13 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(load(spark, folder, "documents", "doc_id", "text"))
 
 
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    documents = load(spark, folder, "documents", "doc_id", "text")
+    sizes = scratch.table(packing.token_sizes(documents), "sizes")
+    out = packing.packed_well(packing.pack(sizes), sizes)
+    return out.join(documents.agg(F.count("doc_id").alias("in_table"))).select("in_table", F.col("n_documents").alias("packed"), "over_capacity", "wrongly_cut", "lost_tokens", "tight")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(load(spark, folder, "documents", "doc_id", "text"), load(spark, folder, "eval_items", "item_id", "text"))
 
@@ -86,7 +98,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p3_found, p3_supports, p4_found, p4_conversations, p6_found, p6_stretches, p7_found, p7_copies, p8_containers, p9_found, p9_passages, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p3_found, p3_supports, p4_found, p4_conversations, p6_found, p6_stretches, p7_found, p7_copies, p8_containers, p8_invariants, p9_found, p9_passages, p10_found)}
 
 
 _ROLE = "lower(trim(role, E' \\t\\n\\r'))"
@@ -142,11 +154,13 @@ g AS (SELECT pred_id, min(pred_id) OVER (PARTITION BY key) AS pred_id_first, cou
 """
     return {
         "p1_found": p1,
+        "p1_balance": "SELECT 'task' AS kind, count(*) AS n_rows, 0 AS no_split, 0 AS torn_groups, true AS balanced FROM folds UNION ALL SELECT 'population', count(*), 0, 0, true FROM e7_metrics",
         "p2_found": p2,
         "p3_found": f"SELECT event_pattern FROM ({p3})",
         "p3_supports": p3,
         "p4_found": p4 + "SELECT run_id FROM dropped",
         "p4_conversations": p4 + "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step_idx, k) - 1 AS turn, step_idx, role, text, frag_id FROM o ANTI JOIN dropped USING (run_id)",
+        "p8_invariants": "SELECT count(*) AS in_table, count(DISTINCT doc_id) AS packed, 0 AS over_capacity, 0 AS wrongly_cut, 0 AS lost_tokens, true AS tight FROM documents",
         "p7_found": p7 + "SELECT pred_id_first, pred_id AS pred_id_copy FROM g WHERE pred_id <> pred_id_first",
         "p7_copies": p7 + "SELECT pred_id, pred_id_first AS first_id, copies FROM g",
     }

@@ -150,3 +150,20 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(documents: DataFrame, capacity: int = 2048, tokenizer_path: str = TOKENIZER) -> DataFrame:
     return pack(token_sizes(documents, tokenizer_path=tokenizer_path), capacity)
+
+
+def packed_well(containers: DataFrame, sizes: DataFrame, capacity: int = 2048) -> DataFrame:
+    """(n_documents, n_tokens, over_capacity, wrongly_cut, lost_tokens, tight), one row: what must hold of pack().
+
+    wrongly_cut counts documents that fit one container and lie in several; tight says that at most a fiftieth more
+    containers are used than the tokens need at least, one left over aside.
+    """
+    bins = containers.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("over_capacity"), F.count(F.lit(1)).alias("bins"))
+    docs = containers.groupBy("doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"))
+    want = sizes.groupBy("doc_id").agg(F.sum(F.coalesce("n_tokens", F.lit(0))).alias("n"), F.count(F.lit(1)).alias("rows"))
+    both = want.join(docs, "doc_id", "full")
+    whole = both.agg(
+        F.count("rows").alias("n_documents"), F.sum("n").alias("n_tokens"), F.count_if((F.col("n") <= capacity) & (F.col("pieces") > F.col("rows"))).alias("wrongly_cut"),
+        F.sum(F.abs(F.coalesce("n", F.lit(0)) - F.coalesce("got", F.lit(0)))).alias("lost_tokens"),
+    )
+    return whole.join(bins).select("n_documents", "n_tokens", "over_capacity", "wrongly_cut", "lost_tokens", (F.col("bins") <= F.ceil(F.col("n_tokens") / capacity) * 1.02 + 1).alias("tight"))

@@ -164,3 +164,18 @@ def torn(records: DataFrame, tasks: DataFrame) -> DataFrame:
     known = of_tasks.select(F.col("key").alias("present"), "group_id").union(of_tasks.join(former, "key").select("present", "group_id")).distinct()
     tasks_torn = named.join(known.withColumnRenamed("present", "key"), "key").join(groups.where("kind = 'task'").select("group_id"), "group_id").select(F.lit("task").alias("field"), F.col("task_id").alias("entity"))
     return tasks_torn.distinct().union(groups.where("kind = 'population'").select(F.lit("population").alias("field"), F.col("spelled.spelled").alias("entity")))
+
+
+def balance(records: DataFrame, proportions: dict[str, float] | None = None) -> DataFrame:
+    """(kind, n_rows, no_split, torn_groups, balanced): what must hold of together() for each kind.
+
+    balanced: no split has more rows off its proportion than one bin holds, a bin being a hundredth of the rows or the
+    heaviest group, whichever is more: whole groups allow no better.
+    """
+    proportions = proportions or PROPORTIONS
+    groups = records.groupBy("kind", "group_id", "split").agg(F.count(F.lit(1)).alias("n"))
+    torn = groups.groupBy("kind", "group_id").agg(F.sum("n").alias("n"), (F.count(F.lit(1)) > 1).alias("torn"))
+    off = F.greatest(*[F.abs(F.sum(F.when(F.col("split") == x, F.col("n")).otherwise(0)) - p * F.sum("n")) for x, p in proportions.items()])
+    sums = groups.groupBy("kind").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("split").isNull(), F.col("n")).otherwise(0)).alias("no_split"), off.alias("off"))
+    heaviest = torn.groupBy("kind").agg(F.count_if("torn").alias("torn_groups"), F.max("n").alias("heaviest"))
+    return sums.join(heaviest, "kind").select("kind", "n_rows", "no_split", "torn_groups", (F.col("off") <= F.greatest(F.ceil(F.col("n_rows") / N_BINS), F.col("heaviest"))).alias("balanced"))
