@@ -7,7 +7,7 @@ import json
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +22,13 @@ REPORT_FIELDS = ("resolved", "tests_status", "patch_is_None", "patch_exists", "p
 
 
 def read_value(text: str | None):
-    """The value of a whole JSON or Python literal, also wrapped in JSON strings or behind byte order marks; else None."""
+    """The value of a whole JSON or Python literal, also wrapped in strings or behind byte order marks; else None.
+
+    However often it is wrapped: what a string wraps is shorter than the string, so unwrapping ends.
+    """
     value = text
-    for _ in range(8):
-        if not isinstance(value, str):
-            return value
-        plain = value.strip().lstrip("﻿").strip()
+    while isinstance(value, str):
+        plain = value.strip().lstrip("\ufeff").strip()
         try:
             value = json.loads(plain)
         except (ValueError, RecursionError):
@@ -35,9 +36,7 @@ def read_value(text: str | None):
                 value = ast.literal_eval(plain)
             except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
                 return None
-            if isinstance(value, str):
-                continue
-    return None
+    return value
 
 
 def scalar_text(value) -> str | None:
@@ -58,19 +57,54 @@ def _kind(value) -> str:
     return "boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number"
 
 
+class Nodes:
+    """The columns of the adjacency table, filled record by record."""
+
+    def __init__(self):
+        self.columns: tuple[list, ...] = tuple([] for _ in NODE_SCHEMA.split(","))
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def add(self, record, value) -> None:
+        """Every node of a record, parents first; the root is node 0 with parent -1. Members of an array without inner
+        nodes, most of all nodes, are added at once."""
+        ids, nodes, parents, labels, ords, kinds, scalars, sizes = self.columns
+        todo, n = [(value, -1, None, 0)], 0
+        while todo:
+            value, parent, label, ord_ = todo.pop()
+            kind, node = _kind(value), n
+            n += 1
+            inner = kind in ("object", "array")
+            ids.append(record), nodes.append(node), parents.append(parent), labels.append(label), ords.append(ord_), kinds.append(kind)
+            scalars.append(None if inner else scalar_text(value)), sizes.append(len(value) if inner else 0)
+            if kind == "object":
+                todo += [(v, node, scalar_text(k), i) for i, (k, v) in reversed(list(enumerate(value.items())))]
+            elif kind == "array":
+                size = len(value)
+                if all(type(v) is str for v in value):
+                    ids.extend([record] * size), nodes.extend(range(n, n + size)), parents.extend([node] * size), labels.extend([None] * size)
+                    ords.extend(range(size)), kinds.extend(["string"] * size), scalars.extend(value), sizes.extend([0] * size)
+                    n += size
+                else:
+                    todo += [(v, node, None, i) for i, v in reversed(list(enumerate(value)))]
+
+    def batch(self) -> pa.RecordBatch:
+        """The columns as Arrow; half a surrogate pair, which no table can hold, becomes a question mark."""
+        out = []
+        for c, f in zip(self.columns, _ARROW):
+            try:
+                out.append(pa.array(c, f.type))
+            except (UnicodeEncodeError, pa.ArrowInvalid):
+                out.append(pa.array([x if x is None else x.encode("utf-8", "replace").decode() for x in c], f.type))
+        return pa.RecordBatch.from_arrays(out, schema=_ARROW)
+
+
 def walk(value) -> Iterator[tuple[int, int, str | None, int, str, str | None, int]]:
-    """(node, parent, label, ord, kind, scalar, size) of every node, parents first; the root is node 0 with parent -1."""
-    todo, n = [(value, -1, None, 0)], 0
-    while todo:
-        value, parent, label, ord_ = todo.pop()
-        kind, node = _kind(value), n
-        n += 1
-        inner = kind in ("object", "array")
-        yield node, parent, label, ord_, kind, None if inner else scalar_text(value), len(value) if inner else 0
-        if kind == "object":
-            todo += [(v, node, scalar_text(k), i) for i, (k, v) in reversed(list(enumerate(value.items())))]
-        elif kind == "array":
-            todo += [(v, node, None, i) for i, v in reversed(list(enumerate(value)))]
+    """(node, parent, label, ord, kind, scalar, size) of every node of one value."""
+    nodes = Nodes()
+    nodes.add(0, value)
+    return zip(*nodes.columns[1:])
 
 
 def shred(records: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -82,22 +116,22 @@ def shred(records: DataFrame, record_id: str, text: str) -> DataFrame:
     Node numbers are fixed by the record alone. A record is read inside one task; nothing else is gathered.
     """
 
-    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(20_000)
         for batch in batches:
-            rows = []
-            for rid, body in zip(batch["record_id"], batch["body"]):
+            out = Nodes()
+            for rid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if body is not None and (value := read_value(body)) is not None:
-                    rows += [(rid, *x) for x in walk(value)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows = []
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+                    out.add(rid, value)
+                if len(out) > 50_000:
+                    yield out.batch()
+                    out = Nodes()
+            yield out.batch()
 
-    return records.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("body")).where("record_id is not null").mapInPandas(nodes, NODE_SCHEMA)
+    return records.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("body")).where("record_id is not null").mapInArrow(nodes, NODE_SCHEMA)
 
 
-_COLUMNS = ["record_id", "node", "parent", "label", "ord", "kind", "scalar", "size"]
+_ARROW = pa.schema([("record_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ord", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("size", pa.int32())])
 
 
 def node_table(records: DataFrame, record_id: str, text: str) -> DataFrame:

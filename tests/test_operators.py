@@ -131,3 +131,18 @@ def test_class_pairs_against_pairs(spark):
     p["w"] = (p.s_x > p.s_y) + (p.s_x == p.s_y) / 2
     assert got == {k: (len(x), x.w.sum()) for k, x in p.groupby("set")}
     assert M.class_pairs(spark.createDataFrame(d).limit(0), "y", "s", "g", ["c"], label).count() == 0
+
+
+def test_values_wrapped_any_number_of_times():
+    import json
+
+    text = json.dumps({"a": 1})
+    for _ in range(14):
+        text = json.dumps(text) if len(text) < 4000 else repr(text)
+        assert S.read_value("﻿ " + text) == {"a": 1}
+    assert S.read_value('"') is None and S.read_value('""') is None and S.read_value("'x'") is None
+
+
+def test_halves_of_surrogate_pairs(spark):
+    d = spark.createDataFrame([(1, '{"a": "x\\ud800", "b": ["\\udc00", "é"]}')], "id long, body string")
+    assert [r.scalar for r in S.shred(d, "id", "body").orderBy("node").collect()] == [None, "x?", None, "?", "é"]
