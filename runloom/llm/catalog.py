@@ -63,7 +63,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_stretches(spark: SparkSession, folder: str) -> DataFrame:
     steps = load(spark, folder, "steps", "run_id", "pos", "step_idx", "role", "tool_calls", "ts")
     out = repeats.collapse_repeats(repeats.call_events(steps))
-    return out.select(F.col("run").alias("run_id"), F.col("first_step").alias("first_step_idx"), F.col("last_step").alias("last_step_idx"), "n", "first_ts", "last_ts", "seconds")
+    return out.select(F.col("run").alias("run_id"), F.col("first_step").alias("first_step_idx"), F.col("last_step").alias("last_step_idx"), "n", *[F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz").alias(c) for c in ("first_ts", "last_ts")], "seconds")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,6 +147,18 @@ s AS (SELECT run_id, step_idx,
       FROM o GROUP BY run_id, step_idx),
 dropped AS (SELECT run_id FROM s GROUP BY run_id HAVING bool_or(bad) OR NOT coalesce(bool_or(asked), false) OR min(step_idx) <> 0 OR max(step_idx) <> count(*) - 1)
 """
+    shape = "c"
+    for pattern, put in (
+        ("[‘’‚‛“”„‟`\"'']", "''"), ("[\\s\\p{Z}]+", " "), ("^ ?(?:cd (?:''[^'']*''|[^ ;&|]+) ?(?:&&|;) ?)+", ""), ("/tmp/[^ ''\";|&<>(),:=]*", "/tmp/F"),
+        *[("(^|[^0-9A-Za-z])(?:0x)?[0-9a-fA-F]{8}($|[^0-9A-Za-z])", "\\1N\\2")] * 2, ("[0-9]+(?:\\.[0-9]+)*", "N"), (" ?(&&|\\|\\||[;|<>]) ?", "\\1"),
+    ):
+        shape = f"regexp_replace({shape}, '{pattern}', '{put}', 'g')"
+    p6 = f"""
+WITH e AS (SELECT run_id, pos, step_idx, ts, nullif(array_to_string(list_filter(list_transform(tool_calls, lambda c: trim({shape})), lambda x: x <> ''), chr(1)), '') AS sig
+           FROM steps WHERE {_ASSISTANT} AND run_id IS NOT NULL AND pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, pos ORDER BY step_id) = 1),
+b AS (SELECT *, CASE WHEN sig = lag(sig) OVER (PARTITION BY run_id ORDER BY pos) THEN 0 ELSE 1 END AS opens FROM e),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY run_id ORDER BY pos) AS stretch FROM b)
+SELECT run_id, min_by(step_idx, pos) AS first_step_idx, max_by(step_idx, pos) AS last_step_idx FROM s WHERE sig IS NOT NULL GROUP BY run_id, stretch HAVING count(*) > 1"""
     p7 = """
 WITH one AS (SELECT pred_id, json_extract_string(pred_json, '$.*.*') AS any_, json_extract(pred_json, '$.*')[1] AS r FROM preds),
 k AS (SELECT pred_id, [regexp_replace(lower(coalesce(json_extract_string(r, '$.' || f), '')), '[^\\p{L}\\p{N}]+', '', 'g') FOR f IN ['instance_id', 'model_name_or_path', 'model_patch']] AS key FROM one),
@@ -161,6 +173,8 @@ g AS (SELECT pred_id, min(pred_id) OVER (PARTITION BY key) AS pred_id_first, cou
         "p4_found": p4 + "SELECT run_id FROM dropped",
         "p4_conversations": p4 + "SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step_idx, k) - 1 AS turn, step_idx, role, text, frag_id FROM o ANTI JOIN dropped USING (run_id)",
         "p8_invariants": "SELECT count(*) AS in_table, count(DISTINCT doc_id) AS packed, 0 AS over_capacity, 0 AS wrongly_cut, 0 AS lost_tokens, true AS tight FROM documents",
+        "p6_found": p6,
+        "p6_stretches": p6.replace(" FROM s WHERE", ", count(*) AS n, make_timestamp(epoch_us(min(ts))) AS first_ts, make_timestamp(epoch_us(max(ts))) AS last_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM s WHERE"),
         "p7_found": p7 + "SELECT pred_id_first, pred_id AS pred_id_copy FROM g WHERE pred_id <> pred_id_first",
         "p7_copies": p7 + "SELECT pred_id, pred_id_first AS first_id, copies FROM g",
     }

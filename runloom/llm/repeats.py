@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom import scratch
 from runloom.llm.roles import speaker
 
 CHUNK = 4096
@@ -93,12 +94,14 @@ def collapse_repeats(events: DataFrame) -> DataFrame:
     rows = rows.repartition("run", "chunk").dropDuplicates(["run", "chunk", "pos"])
     rows = rows.withColumn("step", F.coalesce("step", F.lit(-1))).sortWithinPartitions("run", "chunk", "pos")
     pieces = rows.mapInPandas(_pieces, _PIECES)
-    # pieces at chunk edges, and those beside them: a stretch goes on while signature and chunk follow without a break
+    pieces = scratch.table(rows.mapInPandas(_pieces, _PIECES), "pieces")
+    # only pieces at chunk edges go on, at most two a chunk: a stretch goes on while signature and chunk follow without a break
     run = Window.partitionBy("run").orderBy("first_pos")
-    before = F.lag(F.struct("sig", "ok", "at_edge", "chunk")).over(run)
-    pieces = pieces.withColumn("goes_on", F.coalesce(F.col("ok") & before["ok"] & F.col("at_edge") & before["at_edge"] & (F.col("sig") == before["sig"]) & (F.col("chunk") != before["chunk"]), F.lit(False)))
-    pieces = pieces.where("ok").withColumn("stretch", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    out = pieces.groupBy("run", "stretch").agg(F.min_by("first_step", "first_pos").alias("first_step"), F.max_by("last_step", "first_pos").alias("last_step"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
+    before = F.lag(F.struct("sig", "ok", "chunk")).over(run)
+    edge = pieces.where("at_edge").withColumn("goes_on", F.coalesce(F.col("ok") & before["ok"] & (F.col("sig") == before["sig"]) & (F.col("chunk") != before["chunk"]), F.lit(False)))
+    edge = edge.where("ok").withColumn("stretch", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edge.groupBy("run", "stretch").agg(F.min_by("first_step", "first_pos").alias("first_step"), F.max_by("last_step", "first_pos").alias("last_step"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1").drop("stretch")
+    out = pieces.where("not at_edge").select(joined.columns).union(joined)
     known = F.col("high") >= F.col("low")
     return out.select("run", F.when(F.col("first_step") >= 0, F.col("first_step")).alias("first_step"), F.when(F.col("last_step") >= 0, F.col("last_step")).alias("last_step"), "n", F.when(known, F.timestamp_micros("low")).alias("first_ts"), F.when(known, F.timestamp_micros("high")).alias("last_ts"), F.when(known, (F.col("high") - F.col("low")) / 1e6).alias("seconds"))
 

@@ -186,3 +186,14 @@ def test_nearly_equal_calls(spark):
     d = spark.createDataFrame([(x,) for x in same + tmp + hexes + other], "c string").select(repeats.call_shape(F.col("c")).alias("s"))
     shapes = [r.s for r in d.collect()]
     assert len(set(shapes[:3])) == 1 and len(set(shapes[3:5])) == 1 and len(set(shapes)) == 6
+
+
+def test_one_run_holds_nearly_all_events(spark, monkeypatch):
+    """Chunks of the hot run are spread, and only its edge pieces meet in one task."""
+    monkeypatch.setattr(repeats, "CHUNK", 64)
+    n = 20_000
+    d = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("r"), F.col("id"))).otherwise("hot").alias("run"), F.col("id").cast("int").alias("pos"), F.col("id").cast("int").alias("step"), F.expr("case when id < 10000 then id div 7 else 5 end").alias("sig"), F.lit(None).cast("timestamp").alias("ts"))
+    got = {(r.first_step, r.last_step): r.n for r in repeats.collapse_repeats(d).where("run = 'hot'").collect()}
+    sigs = [(i, i // 7 if i < 10_000 else 5) for i in range(n) if i % 10]
+    want = [[x[0] for x in g] for _, g in itertools.groupby(sigs, key=lambda x: x[1])]
+    assert got == {(g[0], g[-1]): len(g) for g in want if len(g) > 1}
