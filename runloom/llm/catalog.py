@@ -90,7 +90,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_passages(load(spark, folder, "documents", "doc_id", "text"), load(spark, folder, "eval_items", "item_id", "text"))
+    return leaks.leaked_passages(load(spark, folder, "documents", "doc_id", "text"), load(spark, folder, "eval_items", "item_id", "text")).drop("text_key")
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.without_leaks(load(spark, folder, "documents", "doc_id", "text"), load(spark, folder, "eval_items", "item_id", "text"))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +102,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p3_found, p3_supports, p4_found, p4_conversations, p6_found, p6_stretches, p7_found, p7_copies, p8_containers, p8_invariants, p9_found, p9_passages, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_balance, p2_found, p3_found, p3_supports, p4_found, p4_conversations, p6_found, p6_stretches, p7_found, p7_copies, p8_containers, p8_invariants, p9_found, p9_passages, p9_clean, p10_found)}
 
 
 _ROLE = "lower(trim(role, E' \\t\\n\\r'))"

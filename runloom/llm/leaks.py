@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.llm.mail import readable_texts, words
+from runloom import scratch
+from runloom.llm.mail import readable_texts, word_places, words
 
 MIN_WORDS = 12
 #: Words of test items in one automaton; more items are matched in blocks, each over all documents.
@@ -106,61 +109,87 @@ class Automaton:
         return found
 
 
+def _text_key() -> Column:
+    return F.xxhash64("text").alias("text_key")
+
+
+def _parsed(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_key, part, words): the words of every readable part, read once for all blocks of items."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(doc, key, part, " ".join(words(text))) for doc, key, raw in zip(b["doc_id"], b["text_key"], b["text"]) for part, text in enumerate(readable_texts(raw))]
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "part", "words"])
+
+    return scratch.table(documents.mapInPandas(read, "doc_id long, text_key long, part int, words string"), "parsed")
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, *, min_words: int = MIN_WORDS, max_cover: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, part, first_word, last_word, longest, doc_cover, item_cover, action).
+    """(doc_id, text_key, item_id, part, first_word, last_word, longest, doc_cover, item_cover, action).
 
-    A row for each item of which min_words or more consecutive words occur consecutively in one readable text part of a
-    document. first_word to last_word (inclusive) span the matches, longest is the longest single match in words,
-    doc_cover and item_cover are the shares of the part's and the item's words in matched stretches. action says what
-    keeps training data clean: `drop document` where doc_cover exceeds max_cover, else `cut span`.
+    A row for each stretch of words of one readable text part of a document that is made up of matches of min_words or
+    more consecutive words with one item. first_word to last_word (inclusive) is the stretch, longest its longest single
+    match in words, doc_cover and item_cover are the shares of the part's and the item's words in all stretches of the
+    two. action says what keeps training data clean: `drop document` where doc_cover exceeds max_cover, else `cut span`;
+    without_leaks() does it. text_key tells texts under one doc_id apart.
 
     documents (doc_id, text) are raw messages; transfer encodings, mark-up and entities are undone, and words are runs
     of letters and digits without regard to case. items (item_id, text) are the stated query set: they are matched in
-    blocks of at most BLOCK_WORDS words, each broadcast as one automaton and streamed over all documents, whole texts.
-    Null, empty and short texts match nothing; repeated items and documents each match by themselves. Only doc_id and
-    text, item_id and text are read, so other columns don't matter.
+    blocks of at most BLOCK_WORDS words, each broadcast as one automaton and streamed over all documents, whole texts,
+    which are parsed once. An item of more words than a block holds is matched in pieces that share min_words - 1 words;
+    their stretches come out by themselves. Null, empty and short texts match nothing; repeated items and documents each
+    match by themselves. Only doc_id and text, item_id and text are read, so other columns don't matter.
     """
     spark = documents.sparkSession
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key())
+    blocks = _blocks(items, min_words)
+    ahead = list(itertools.islice(blocks, 2))
+    several = len(ahead) > 1
+    source = _parsed(documents) if several else documents
     out = None
-    for block in _blocks(items):
-        sizes = {i: len(w) for i, w in block}
-        shared = spark.sparkContext.broadcast((Automaton(block, min_words), sizes))
+    for block in itertools.chain(ahead, blocks):
+        sizes = {i: n for i, n, _ in block}
+        shared = spark.sparkContext.broadcast((Automaton([(i, w) for i, _, w in block], min_words), sizes))
 
         def stream(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             automaton, sizes = shared.value
             for b in batches:
+                if several:
+                    parts = zip(b["doc_id"], b["text_key"], b["part"], (x.split() for x in b["words"]))
+                else:
+                    parts = ((doc, key, part, words(text)) for doc, key, raw in zip(b["doc_id"], b["text_key"], b["text"]) for part, text in enumerate(readable_texts(raw)))
                 rows = []
-                for doc, raw in zip(b["doc_id"], b["text"]):
-                    for part, text in enumerate(readable_texts(raw)):
-                        w = words(text)
-                        if len(w) < min_words:
-                            continue
-                        for item, runs in automaton.spans(w).items():
-                            n = sum(r[1] - r[0] for r in runs)
-                            cover = n / len(w)
-                            rows.append((doc, item, part, runs[0][0], runs[-1][1] - 1, max(r[2] for r in runs), cover, min(1.0, n / sizes[item]), "drop document" if cover > max_cover else "cut span"))
+                for doc, key, part, w in parts:
+                    if len(w) < min_words:
+                        continue
+                    for item, runs in automaton.spans(w).items():
+                        n = sum(r[1] - r[0] for r in runs)
+                        cover, of = n / len(w), min(1.0, n / sizes[item])
+                        rows += [(doc, key, item, part, r[0], r[1] - 1, r[2], cover, of, "drop document" if cover > max_cover else "cut span") for r in runs]
                 yield pd.DataFrame(rows, columns=_COLUMNS)
 
-        found = documents.mapInPandas(stream, _SCHEMA)
+        found = source.mapInPandas(stream, _SCHEMA)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], _SCHEMA)
 
 
-_COLUMNS = ["doc_id", "item_id", "part", "first_word", "last_word", "longest", "doc_cover", "item_cover", "action"]
-_SCHEMA = "doc_id long, item_id long, part int, first_word int, last_word int, longest int, doc_cover double, item_cover double, action string"
+_COLUMNS = ["doc_id", "text_key", "item_id", "part", "first_word", "last_word", "longest", "doc_cover", "item_cover", "action"]
+_SCHEMA = "doc_id long, text_key long, item_id long, part int, first_word int, last_word int, longest int, doc_cover double, item_cover double, action string"
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    """The query set in blocks; the driver holds one block at a time."""
+def _blocks(items: DataFrame, min_words: int) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """The query set in blocks of (item, words in the item, words); the driver holds two blocks at most."""
     block, n = [], 0
+    step = max(1, BLOCK_WORDS - min_words + 1)
     for row in items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator():
         w = words(row[1])
-        if n + len(w) > BLOCK_WORDS and block:
-            yield block
-            block, n = [], 0
-        block.append((row[0], w))
-        n += len(w)
+        for at in range(0, max(1, len(w) - min_words + 1), step):
+            piece = w[at : at + BLOCK_WORDS]
+            if n + len(piece) > BLOCK_WORDS and block:
+                yield block
+                block, n = [], 0
+            block.append((row[0], len(w), piece))
+            n += len(piece)
     if block:
         yield block
 
@@ -168,3 +197,48 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id), each once."""
     return leaked_passages(documents, items, min_words=min_words).select("doc_id", "item_id").distinct()
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the given stretches of words (first, last), each by itself, and the number of words taken out."""
+    places = word_places(text)
+    out, at, gone = [], 0, set()
+    for first, last in sorted(spans):
+        gone.update(range(first, last + 1))
+        start, end = places[first][0], places[last][1]
+        if start > at:
+            out.append(text[at:start])
+        at = max(at, end)
+    return "".join([*out, text[at:]]), len(gone)
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, *, min_words: int = MIN_WORDS, max_cover: float = 0.5) -> DataFrame:
+    """(doc_id, part, text, removed_words): the readable parts of documents without the stretches that leak an item.
+
+    Every stretch is cut by itself, so that the words between two of them stay; a document of which one part has more
+    than max_cover of its words in stretches, of whatever items, is dropped whole. Parts of documents without leaks come
+    out as they are (composed characters, NFC). Documents without doc_id, or with a null text, give no rows.
+    """
+    passages = leaked_passages(documents, items, min_words=min_words, max_cover=max_cover)
+    spans = passages.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("part", "first_word", "last_word")).alias("spans"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key()).where("doc_id is not null and text is not null").join(spans, ["doc_id", "text_key"], "left")
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, raw, found in zip(b["doc_id"], b["text"], b["spans"]):
+                of: dict[int, list[tuple[int, int]]] = {}
+                for x in found if found is not None else ():
+                    of.setdefault(x["part"], []).append((x["first_word"], x["last_word"]))
+                parts = []
+                for part, text in enumerate(readable_texts(raw)):
+                    text = text if text.isascii() else unicodedata.normalize("NFC", text)
+                    n, (left, gone) = len(words(text)) if part in of else 0, cut(text, of[part]) if part in of else (text, 0)
+                    if gone > max_cover * n:
+                        parts = []
+                        break
+                    parts.append((doc, part, left, gone))
+                out += parts
+            yield pd.DataFrame(out, columns=["doc_id", "part", "text", "removed_words"])
+
+    return rows.select("doc_id", "text", "spans").mapInPandas(clean, "doc_id long, part int, text string, removed_words int")

@@ -131,3 +131,12 @@ def words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
     return _WORD.findall(text.casefold())
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where each of words(text) begins and ends in a text of composed characters."""
+    out = []
+    for m in _WORD.finditer(text):
+        # folding may take a word apart, as with a dotted capital I
+        out += [m.span()] * (1 if m[0].isascii() else len(_WORD.findall(m[0].casefold())))
+    return out

@@ -81,6 +81,32 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, leaks.leaks(d, items).collect())) == [(i, i) for i in range(5)]
 
 
+def test_long_items_are_matched_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK_WORDS", 40)
+    long = [f"w{i}" for i in range(150)]
+    d = spark.createDataFrame([(i, message(f"so it was {i} " + " ".join(long[i : i + 12]) + " and no more")) for i in range(0, 139)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
+    assert leaks.leaks(d, items).count() == 139
+
+
+def test_cut_leaves_what_lies_between(spark):
+    a, b = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(13))
+    between = "The harbor, as it was İn May, did not change — and the Äpfel stayed where they were. " * 4
+    text = f"Before: {a.upper()}.\n{between}{b}, {a} after it. Many more words are here so that the greater part of this part stays, as it must. " + between
+    d = spark.createDataFrame([(1, message(text)), (2, message(a + " only")), (3, message("clean text")), (1, message("another text")), (4, None)], "doc_id long, text string").withColumn("part", F.lit("clash"))
+    items = spark.createDataFrame([(7, a), (8, b)], "item_id long, text string")
+    spans = {(r.item_id, r.first_word, r.last_word) for r in leaks.leaked_passages(d, items).where("doc_id = 1").collect()}
+    n = len(mail.words(f"Before: {a} {between}"))
+    assert spans == {(7, 1, 14), (8, n, n + 12), (7, n + 13, n + 26)}
+    out = sorted((r.doc_id, r.part, r.text, r.removed_words) for r in leaks.without_leaks(d, items).collect())
+    kept = text.replace(a.upper(), "").replace(f"{b}, {a}", ", ")
+    assert [x[:2] + x[3:] for x in out] == [(1, 0, 41), (1, 0, 0), (3, 0, 0)]
+    assert out[0][2].strip() == kept.strip()
+    # nothing leaks any more, and nothing else is gone
+    again = spark.createDataFrame([(x[0], message(x[2])) for x in out], "doc_id long, text string")
+    assert leaks.leaks(again, items).count() == 0 and leaks.without_leaks(d.limit(0), items).count() == 0
+
+
 def brute_best_fit(sizes, capacity):
     left, out = [], [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
