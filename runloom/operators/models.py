@@ -3,65 +3,164 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def scales(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
-    """(mean, population deviation) of each feature; a constant feature gets deviation 1."""
-    row = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    return {f: (row[f"m_{f}"] or 0.0, row[f"s_{f}"] or 1.0) for f in features}
+@dataclass(frozen=True)
+class Linear:
+    """A logistic model on standardised features: intercept, and per feature its coefficient, mean and deviation."""
 
+    intercept: float
+    coefficients: tuple[float, ...]
+    means: tuple[float, ...]
+    deviations: tuple[float, ...]
 
-def scaled(df: DataFrame, features: list[str], of: dict[str, tuple[float, float]]) -> DataFrame:
-    z = df.withColumns({f"z_{f}": (F.coalesce(F.col(f).cast("double"), F.lit(of[f][0])) - of[f][0]) / of[f][1] for f in features})
-    return VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="_v").transform(z)
 
+def _moments(cells: list, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, population deviation) of each feature over some cells, from the cells' counts, means and variances."""
+    n, mean, m2 = np.zeros(p), np.zeros(p), np.zeros(p)
+    for c in cells:
+        more, mu, sq = (np.array([float(c[f"{k}{j}"] or 0.0) for j in range(p)]) for k in "nmv")
+        total = np.maximum(n + more, 1)
+        gap = mu - mean
+        m2 += sq * more + gap**2 * n * more / total
+        mean += gap * more / total
+        n += more
+    deviation = np.sqrt(m2 / np.maximum(n, 1))
+    return mean, np.where(deviation > 1e-12 * np.maximum(1.0, np.abs(mean)), deviation, 1.0)
 
-def fit_logistic(train: DataFrame, y: str, features: list[str]):
-    """(model, scales) of an L2 logistic regression with C = 1 on standardised features: regParam = 1 / rows."""
-    of = scales(train, features)
-    n = train.count()
-    fit = LogisticRegression(featuresCol="_v", labelCol=y, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-9)
-    return fit.fit(scaled(train, features, of)), of
 
+def fit_models(df: DataFrame, y: str, features: list[str], cell: Column, training: dict, *, tolerance: float = 1e-8, steps: int = 100) -> dict[object, Linear]:
+    """L2 logistic regressions with C = 1 on standardised features, all at once: one for each name in training, fitted on
+    the rows whose cell (a string) is in its set.
 
-def predict(model, of, df: DataFrame, features: list[str], out: str = "risk") -> DataFrame:
-    return model.transform(scaled(df, features, of)).withColumn(out, vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction", *[f"z_{f}" for f in features])
+    Newton's method with halved steps. A step is one pass over the rows in which every Arrow batch adds up loss, gradient
+    and Hessian of all models; the sums, models by features squared, are all that comes to the driver. Raises if a model
+    has not converged after `steps` passes. Features are standardised by the model's own rows (population deviation, 1
+    for a constant) and nulls take the mean; rows without y are not fitted on. A model of one class has no coefficients
+    and its class as risk; one without rows is left out.
+    """
+    p = len(features)
+    d = df.where(F.col(y).isNotNull()).select(cell.cast("string").alias("_cell"), F.col(y).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f"f{j}") for j, f in enumerate(features)])
+    sums = [x for j in range(p) for x in (F.count(f"f{j}").alias(f"n{j}"), F.avg(f"f{j}").alias(f"m{j}"), F.var_pop(f"f{j}").alias(f"v{j}"))]
+    cells = {r["_cell"]: r for r in d.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"), *sums).collect()}
+    codes = {c: i for i, c in enumerate(cells)}
+    out: dict[object, Linear] = {}
+    names, mean, deviation, member = [], [], [], []
+    for name, wanted in training.items():
+        own = [cells[c] for c in wanted if c in cells]
+        n, pos = sum(c["n"] for c in own), sum(c["pos"] for c in own)
+        if not n:
+            continue
+        m, s = _moments(own, p)
+        if pos in (0, n):
+            out[name] = Linear(40.0 if pos else -40.0, (0.0,) * p, tuple(m.tolist()), tuple(s.tolist()))
+            continue
+        names.append(name), mean.append(m), deviation.append(s)
+        member.append([c in wanted for c in cells])
+    if not names:
+        return out
+    mean, deviation, member = np.array(mean), np.array(deviation), np.array(member)
+    w = np.zeros((len(names), p + 1))
+    last, direction, size, loss = w.copy(), np.zeros_like(w), np.ones(len(names)), np.full(len(names), np.inf)
+    going = np.ones(len(names), dtype=bool)
+    ridge = np.append(0.0, np.ones(p))
+    for _ in range(steps):
+        todo, at = np.flatnonzero(going), w.copy()
+
+        def add(batches: Iterator[pd.DataFrame], todo=todo, at=at) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(todo), 1 + (p + 1) + (p + 1) ** 2))
+            for b in batches:
+                of = b["_cell"].map(codes, na_action=None).to_numpy(int) if len(b) else np.zeros(0, int)
+                x, label = b[[f"f{j}" for j in range(p)]].to_numpy(float), b["_y"].to_numpy()
+                for i, m in enumerate(todo):
+                    rows = member[m][of]
+                    z = np.nan_to_num((x[rows] - mean[m]) / deviation[m])
+                    z = np.hstack([np.ones((len(z), 1)), z])
+                    eta, t = z @ at[m], label[rows]
+                    risk = 1 / (1 + np.exp(-eta))
+                    total[i, 0] += np.sum(np.logaddexp(0, eta) - t * eta)
+                    total[i, 1 : p + 2] += z.T @ (risk - t)
+                    total[i, p + 2 :] += ((z * (risk * (1 - risk))[:, None]).T @ z).ravel()
+            yield pd.DataFrame({"i": np.arange(len(todo)), "v": list(total)})
+
+        sums = d.mapInPandas(add, "i int, v array<double>").select("i", F.posexplode("v")).groupBy("i", "pos").agg(F.sum("col").alias("s")).collect()
+        total = np.zeros((len(todo), 1 + (p + 1) + (p + 1) ** 2))
+        for r in sums:
+            total[r["i"], r["pos"]] = r["s"]
+        for i, m in enumerate(todo):
+            value = total[i, 0] + 0.5 * float(np.sum(ridge * w[m] ** 2))
+            if value > loss[m] + 1e-9 * abs(loss[m]):
+                size[m] /= 2
+                w[m] = last[m] + size[m] * direction[m]
+                continue
+            slope = total[i, 1 : p + 2] + ridge * w[m]
+            bend = total[i, p + 2 :].reshape(p + 1, p + 1) + np.diag(ridge)
+            last[m], loss[m], size[m] = w[m], value, 1.0
+            direction[m] = -np.linalg.solve(bend, slope)
+            if np.abs(direction[m]).max() < tolerance:
+                going[m] = False
+            else:
+                w[m] = w[m] + direction[m]
+        if not going.any():
+            break
+    else:
+        raise ValueError(f"no convergence in {steps} passes: {[n for n, g in zip(names, going) if g]}")
+    for i, name in enumerate(names):
+        out[name] = Linear(float(last[i, 0]), tuple(last[i, 1:].tolist()), tuple(mean[i].tolist()), tuple(deviation[i].tolist()))
+    return out
+
+
+def fit_logistic(train: DataFrame, y: str, features: list[str]) -> Linear:
+    """One model of all rows."""
+    models = fit_models(train, y, features, F.lit("all"), {"all": {"all"}})
+    if not models:
+        raise ValueError("no training rows")
+    return models["all"]
+
+
+def predict(model: Linear, df: DataFrame, features: list[str], out: str = "risk") -> DataFrame:
+    parts = [c * (F.coalesce(F.col(f).cast("double"), F.lit(m)) - m) / s for f, c, m, s in zip(features, model.coefficients, model.means, model.deviations)]
+    return df.withColumn(out, 1 / (1 + F.exp(-sum(parts, F.lit(model.intercept)))))
+
+
+def _predicted(df: DataFrame, features: list[str], models: list[tuple], keys: str, on: Column) -> DataFrame:
+    """df joined with a table of a row per model (key columns, model), and the model's risk; so the plan does not grow
+    with the models."""
+    rows = [(*key, m.intercept, [*zip(m.coefficients, m.means, m.deviations)]) for key, m in models]
+    table = df.sparkSession.createDataFrame(rows, f"{keys}, _b double, _w array<struct<c:double,m:double,s:double>>")
+    part = lambda f, w: w["c"] * (F.coalesce(F.col(f).cast("double"), w["m"]) - w["m"]) / w["s"]
+    z = sum((part(f, F.col("_w")[n]) for n, f in enumerate(features)), F.col("_b"))
+    return df.join(F.broadcast(table), on).withColumn("risk", 1 / (1 + F.exp(-z))).drop("_b", "_w")
 
 
-def _apart(train: DataFrame, test: DataFrame, group: str) -> None:
-    """Fails if a group is in both: the guard against leaks between folds."""
-    if train.select(group).intersect(test.select(group)).limit(1).count():
+def apart(df: DataFrame, fold: str, group: str) -> None:
+    """Fails if rows of one group lie in two folds: the guard against leaks between folds."""
+    if df.where(F.col(fold).isNotNull()).groupBy(group).agg((F.min(fold) != F.max(fold)).alias("torn")).where("torn").limit(1).count():
         raise ValueError(f"{group} in training and test rows")
 
 
 def out_of_fold(df: DataFrame, y: str, features: list[str], fold: str, group: str, k: int = 5, folds: list[int] | None = None) -> DataFrame:
-    """df with `risk`: each fold predicted by a model of the others; rows without a fold by a model of all. folds names
-    them if they are not 0 to k - 1."""
+    """df with `risk`: each fold predicted by a model of the others; rows without a fold by a model of all that have one.
+    folds names them if they are not 0 to k - 1. All models are fitted in the same passes."""
     folds = [*range(k)] if folds is None else folds
-
-    def one(i: int) -> DataFrame:
-        train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
-        _apart(train, test, group)
-        return predict(*fit_logistic(train, y, features), test, features)
-
-    with ThreadPool(len(folds)) as pool:  # the folds' jobs run side by side; only coefficients come to the driver
-        parts = pool.map(one, folds)
-    out = reduce(DataFrame.unionByName, parts)
-    orphans = df.where(F.col(fold).isNull())
-    if orphans.limit(1).count():
-        out = out.unionByName(predict(*fit_logistic(df.where(F.col(fold).isNotNull()), y, features), orphans, features))
-    return out
+    apart(df, fold, group)
+    training = {i: {str(j) for j in folds if j != i} for i in folds} | {None: {str(j) for j in folds}}
+    models = fit_models(df, y, features, F.col(fold), training)
+    table = [((i,), m) for i, m in models.items()]
+    return _predicted(df, features, table, "_i int", F.col(fold).cast("int").eqNullSafe(F.col("_i"))).drop("_i")
 
 
 OTHERS = "all others"
@@ -70,36 +169,32 @@ OTHERS = "all others"
 def transfer(df: DataFrame, y: str, features: list[str], domain: str, fold: str, k: int = 5) -> DataFrame:
     """df rows with `trained_on` and `risk`: from every domain to every domain, and from all others to each (OTHERS).
 
-    The domains are those of the data. Each fold is predicted by models of the other folds; a domain without training
-    rows there predicts nothing. Rows without a fold are predicted by models of all rows with one. Only coefficients come
-    to the driver, and go back as a table of a row per model, so that the plan does not grow with the models.
+    The domains are those of the data, whatever the column: a source, a family, a version, a generation, whether a run
+    finished. Each fold is predicted by models of the other folds; a domain without training rows there predicts nothing.
+    Rows without a fold are predicted by models of all rows with one. Only coefficients come to the driver.
     """
-    cells = [(r[0], r[1], r[2]) for r in df.where(F.col(domain).isNotNull()).groupBy(domain, fold).count().collect()]  # a row per domain and fold
-    values = sorted({a for a, _, _ in cells})
-    folds = [*range(k), None] if any(i is None for _, i, _ in cells) else [*range(k)]
-
-    def one(job) -> tuple | None:
-        a, others, i = job
-        if not any((b != a) == others and j is not None and j != i for b, j, _ in cells):
-            return None
-        source = F.col(domain) != a if others else F.col(domain) == a
-        model, of = fit_logistic(df.where(source & (F.col(fold).isNotNull() if i is None else F.col(fold) != i)), y, features)
-        return OTHERS if others else a, a if others else None, i, float(model.intercept), [(float(c), *map(float, of[f])) for f, c in zip(features, model.coefficients)]
-
-    with ThreadPool(k) as pool:
-        rows = [r for r in pool.map(one, [(a, others, i) for a in values for others in (False, True) for i in folds], chunksize=1) if r]
-    models = df.sparkSession.createDataFrame(rows, f"trained_on {df.schema[domain].dataType.simpleString()}, _to {df.schema[domain].dataType.simpleString()}, _i int, _b double, _w array<struct<c:double,m:double,s:double>>")
+    cells = [(r[0], r[1]) for r in df.where(F.col(domain).isNotNull()).select(domain, fold).distinct().collect()]  # a row per domain and fold
+    code = {a: n for n, a in enumerate(sorted({a for a, _ in cells}))}
+    name = lambda a, i: f"{code[a]}:{i}"
+    folds = [*range(k), None] if any(i is None for _, i in cells) else [*range(k)]
+    training = {(a, others, i): {name(b, j) for b, j in cells if (b != a) == others and j is not None and j != i} for a in code for others in (False, True) for i in folds}
+    if not code:
+        return df.limit(0).withColumn("trained_on", F.col(domain)).withColumn("risk", F.lit(0.0))
+    coded = F.create_map(*[x for a, n in code.items() for x in (F.lit(a), F.lit(str(n)))])[F.col(domain)]
+    models = fit_models(df, y, features, F.concat(coded, F.lit(":"), F.col(fold).cast("string")), training)
+    table = [((OTHERS if others else a, a if others else None, i), m) for (a, others, i), m in models.items()]
+    kind = df.schema[domain].dataType.simpleString()
+    if kind != "string":
+        raise ValueError("name domains by strings")
     on = F.col(fold).eqNullSafe(F.col("_i")) & F.col(domain).isNotNull() & (F.col("_to").isNull() | (F.col("_to") == F.col(domain)))
-    part = lambda f, w: w["c"] * (F.coalesce(F.col(f).cast("double"), w["m"]) - w["m"]) / w["s"]
-    z = sum((part(f, F.col("_w")[n]) for n, f in enumerate(features)), F.col("_b"))
-    return df.join(F.broadcast(models), on).withColumn("risk", 1 / (1 + F.exp(-z))).drop("_to", "_i", "_b", "_w")  # a row per model
+    return _predicted(df, features, table, "trained_on string, _to string, _i int", on).drop("_to", "_i")
 
 
-def linear_shap(model, of, df: DataFrame, features: list[str]) -> DataFrame:
+def linear_shap(model: Linear, df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, coefficient, mean_abs): exact contributions of a linear model, coef times standardised value."""
-    coef = [float(c) for c in model.coefficients]
-    rows = df.agg(*[F.avg(F.abs(F.lit(c) * (F.coalesce(F.col(f).cast("double"), F.lit(of[f][0])) - of[f][0]) / of[f][1])).alias(f) for f, c in zip(features, coef)])
-    return rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("coefficient"), F.col(f).alias("mean_abs")) for f, c in zip(features, coef)])).alias("x")).select("x.*")
+    of = [*zip(features, model.coefficients, model.means, model.deviations)]
+    rows = df.agg(*[F.avg(F.abs(F.lit(c) * (F.coalesce(F.col(f).cast("double"), F.lit(m)) - m) / s)).alias(f) for f, c, m, s in of])
+    return rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("coefficient"), F.col(f).alias("mean_abs")) for f, c, _, _ in of])).alias("x")).select("x.*")
 
 
 def _by_fold(df: DataFrame, fold: str, k: int, one) -> DataFrame:
@@ -157,12 +252,23 @@ def text_risk(df: DataFrame, y: str, text: str, category: str, features: list[st
 
 
 def stack(df: DataFrame, y: str, risk: str, other: str, fold: str, group: str) -> DataFrame:
-    """Second-level risk from the logit of a risk and another score, whose gaps are filled by the training median."""
+    """Second-level risk from the logit of a risk and another score, whose gaps are filled by the training median: for a
+    fold that of the other folds, for rows without a fold that of all folds. Each fold's model is fitted on such rows."""
     p = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col(risk)))
-    d = df.withColumn("_l", F.log(p / (1 - p)))
-    mid = d.agg(F.percentile(other, 0.5)).first()[0] or 0.0
-    d = d.withColumn("_o", F.coalesce(F.col(other), F.lit(float(mid)))).drop(risk)
-    return out_of_fold(d, y, ["_l", "_o"], fold, group).drop("_l", "_o")
+    d = df.withColumn("_l", F.log(p / (1 - p))).drop(risk)
+    apart(d, fold, group)
+    folds = [r[0] for r in d.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).collect()]
+    if not folds:
+        return d.limit(0).withColumn("risk", F.lit(0.0)).drop("_l")
+    percentile = lambda keep: F.percentile(F.when(keep, F.col(other)), 0.5)
+    middle = d.agg(*[percentile(F.col(fold) != i).alias(f"m{n}") for n, i in enumerate(folds)], percentile(F.col(fold).isNotNull()).alias("all")).first()
+    # a row for each model that sees it: `_of` is the fold the model leaves out, null for the model of all folds
+    of = d.sparkSession.createDataFrame([(i, float(middle[f"m{n}"] or 0.0)) for n, i in enumerate(folds)] + [(None, float(middle["all"] or 0.0))], "_of int, _mid double")
+    seen = d.join(F.broadcast(of)).withColumn("_o", F.coalesce(F.col(other), F.col("_mid")))  # a row per fold
+    cell = F.concat(F.coalesce(F.col("_of").cast("string"), F.lit("-")), F.lit("|"), F.col(fold).cast("string"))
+    models = fit_models(seen, y, ["_l", "_o"], cell, {i: {f"{'-' if i is None else i}|{j}" for j in folds if j != i} for i in [*folds, None]})
+    own = seen.where(F.col(fold).eqNullSafe(F.col("_of")))
+    return _predicted(own, ["_l", "_o"], [((i,), m) for i, m in models.items()], "_i int", F.col("_of").eqNullSafe(F.col("_i"))).drop("_i", "_l", "_o", "_of", "_mid")
 
 
 def vif(df: DataFrame, features: list[str]) -> dict[str, float]:
@@ -250,7 +356,7 @@ def nested_selection(df: DataFrame, y: str, sets: dict[str, list[str]], fold: st
 
         found = {name: strength(name) for name in sets}
         best = min(found, key=lambda name: (-found[name], name))
-        return predict(*fit_logistic(train, y, sets[best]), test, sets[best]).withColumn("chosen", F.lit(best))
+        return predict(fit_logistic(train, y, sets[best]), test, sets[best]).withColumn("chosen", F.lit(best))
 
     orphans = [None] if df.where(F.col(fold).isNull()).limit(1).count() else []
-    return reduce(DataFrame.unionByName, [one(i) for i in [*range(k), *orphans]])  # the inner folds run side by side
+    return reduce(DataFrame.unionByName, [one(i) for i in [*range(k), *orphans]])

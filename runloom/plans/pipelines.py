@@ -64,7 +64,7 @@ def transfer_matrix(spark, d):
 
 def linear_shap(spark, d):
     f = _frame(spark, d)
-    return rounded(L.linear_shap(*L.fit_logistic(f, "y", FEATURES), f, FEATURES))
+    return rounded(L.linear_shap(L.fit_logistic(f, "y", FEATURES), f, FEATURES))
 
 
 def isotonic_calibration(spark, d):

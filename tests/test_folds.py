@@ -22,10 +22,10 @@ def test_transfer_over_all_domains_and_folds(frame):
     assert out.groupby(["trained_on", "domain"]).size().to_dict() == {(a, b): n[b] for a in ("a", "b", "c", L.OTHERS) for b in n}
     for a, i in (("a", 1), ("c", 4)):
         of = frame.where(f"domain = '{a}' and fold <> {i}")
-        want = L.predict(*L.fit_logistic(of, "y", ["x"]), frame.where(f"fold = {i}"), ["x"]).toPandas().set_index("i").risk
+        want = L.predict(L.fit_logistic(of, "y", ["x"]), frame.where(f"fold = {i}"), ["x"]).toPandas().set_index("i").risk
         got = out[(out.trained_on == a) & (out.fold == i)].set_index("i").risk
         assert np.allclose(got.sort_index(), want.sort_index())
-    want = L.predict(*L.fit_logistic(frame.where("domain <> 'b' and fold <> 2"), "y", ["x"]), frame.where("domain = 'b' and fold = 2"), ["x"]).toPandas().set_index("i").risk
+    want = L.predict(L.fit_logistic(frame.where("domain <> 'b' and fold <> 2"), "y", ["x"]), frame.where("domain = 'b' and fold = 2"), ["x"]).toPandas().set_index("i").risk
     got = out[(out.trained_on == L.OTHERS) & (out.domain == "b") & (out.fold == 2)].set_index("i").risk
     assert np.allclose(got.sort_index(), want.sort_index())
 
