@@ -55,6 +55,8 @@ def read(command: str) -> list[Simple]:
         finish_word()
         if now.words or now.outputs or now.documents or any(p[0] is now for p in pending):
             out.append(now)
+        elif operator == "\n" and now.after:
+            return  # a new line right after an operator goes on
         now = Simple(after=operator)
 
     while i < n:

@@ -41,6 +41,24 @@ def outcome_counts(spark, d):
     return R.command_events(_calls(spark, d)).where("kind = 'verify'").groupBy("runner", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _check_rows(spark, d):
+    s = once(load(spark, d, "steps", "step_id", "run_id", "task_id", "pos", "step_idx", "role", "text", "tool_calls")).withColumn("role", role())
+    return R.check_rows(R.paired_calls(s))
+
+
+def command_checks(spark, d):
+    return _check_rows(spark, d)
+
+
+def check_block(spark, d):
+    runs = load(spark, d, "runs", "run_id", "submitted").select("run_id", (F.coalesce("submitted", F.lit(0)) == 1).alias("claim"))
+    return rounded(R.check_block(scratch.table(_check_rows(spark, d), "checks"), runs))
+
+
+def check_categories(spark, d):
+    return _check_rows(spark, d).agg(F.count(F.lit(1)).alias("n_calls"), F.count_if(F.col("is_check") & F.col("category").isNull()).alias("unjudged"), F.count_if(~F.col("is_check") & F.col("category").isNotNull()).alias("judged_without_check"))
+
+
 def _frame(spark, d):
     return scratch.table(scored(spark, d), "scored")
 
@@ -227,6 +245,8 @@ def segment_after_last_edit(spark, d):
 QUERIES = {
     "structure_features": (structure_features, ""), "gold_runs": (gold_runs, ""), "pinned_values": (pinned_values, ""), "flat_settings": (flat_settings, ""), "error_share_interval": (error_share_interval, ""), "segment_after_last_edit": (segment_after_last_edit, ""),
     "command_events": (command_events, ""), "command_check_features": (check_features, ""), "command_outcomes": (outcome_counts, ""),
+    "command_checks": (command_checks, ""), "check_block": (check_block, ""),
+    "check_categories": (check_categories, f"WITH {ONCE_SQL} SELECT sum(len(list_filter(tool_calls, lambda x: x IS NOT NULL)))::BIGINT AS n_calls, 0 AS unjudged, 0 AS judged_without_check FROM once WHERE role = 'assistant' AND run_id IS NOT NULL"),
     "oof_logistic": (oof_logistic, ""), "oof_auroc": (oof_auroc, ""), "transfer_matrix": (transfer_matrix, ""), "linear_shap": (linear_shap, ""), "isotonic_calibration": (isotonic_calibration, ""),
     "boosted_risk": (boosted_risk, ""), "text_risk": (text_risk, ""), "stacked_risk": (stacked_risk, ""), "nested_selection": (nested_selection, ""), "vif_table": (vif_table, ""), "selected_features": (selected_features, ""),
     "variance_shares_glmm": (variance_shares_glmm, ""), "noise_ceiling": (noise_ceiling, ""), "report_labels": (report_labels, ""),
