@@ -8,12 +8,12 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom import scratch
 
-NODE_SCHEMA = "record_id long, node int, parent int, label string, ord int, kind string, scalar string, size int"
+NODE_SCHEMA = "record_id long, node int, parent int, label string, ord int, kind string, scalar string, size int, path string, holder int"
 
 # fixed values: the test groups and outcomes of a report, and the flags that mark a report without a task name
 GROUPS = ("FAIL_TO_PASS", "PASS_TO_PASS", "FAIL_TO_FAIL", "PASS_TO_FAIL")
@@ -68,26 +68,33 @@ class Nodes:
 
     def add(self, record, value) -> None:
         """Every node of a record, parents first; the root is node 0 with parent -1. Members of an array without inner
-        nodes, most of all nodes, are added at once."""
-        ids, nodes, parents, labels, ords, kinds, scalars, sizes = self.columns
-        todo, n = [(value, -1, None, 0)], 0
+        nodes, most of all nodes, are added at once. path is the labels of the three nodes above, from the top, with *
+        for none; holder is the node above those, -1 if there is none."""
+        ids, nodes, parents, labels, ords, kinds, scalars, sizes, paths, holders = self.columns
+        todo, n = [(value, -1, None, 0, ("*", "*", "*"), (-1, -1, -1))], 0
         while todo:
-            value, parent, label, ord_ = todo.pop()
+            value, parent, label, ord_, names, above = todo.pop()
             kind, node = _kind(value), n
             n += 1
             inner = kind in ("object", "array")
             ids.append(record), nodes.append(node), parents.append(parent), labels.append(label), ords.append(ord_), kinds.append(kind)
             scalars.append(None if inner else scalar_text(value)), sizes.append(len(value) if inner else 0)
+            paths.append("/".join(names)), holders.append(above[0])
+            if not inner:
+                continue
+            # above: the third, second and first node over this one; under it, this one is the first
+            names, above = (*names[1:], "*" if label is None else label), (above[1], above[2], parent)
             if kind == "object":
-                todo += [(v, node, scalar_text(k), i) for i, (k, v) in reversed(list(enumerate(value.items())))]
-            elif kind == "array":
-                size = len(value)
-                if all(type(v) is str for v in value):
-                    ids.extend([record] * size), nodes.extend(range(n, n + size)), parents.extend([node] * size), labels.extend([None] * size)
-                    ords.extend(range(size)), kinds.extend(["string"] * size), scalars.extend(value), sizes.extend([0] * size)
-                    n += size
-                else:
-                    todo += [(v, node, None, i) for i, v in reversed(list(enumerate(value)))]
+                todo += [(v, node, scalar_text(k), i, names, above) for i, (k, v) in reversed(list(enumerate(value.items())))]
+                continue
+            size = len(value)
+            if all(type(v) is str for v in value):
+                ids.extend([record] * size), nodes.extend(range(n, n + size)), parents.extend([node] * size), labels.extend([None] * size)
+                ords.extend(range(size)), kinds.extend(["string"] * size), scalars.extend(value), sizes.extend([0] * size)
+                paths.extend(["/".join(names)] * size), holders.extend([above[0]] * size)
+                n += size
+            else:
+                todo += [(v, node, None, i, names, above) for i, v in reversed(list(enumerate(value)))]
 
     def batch(self) -> pa.RecordBatch:
         """The columns as Arrow; half a surrogate pair, which no table can hold, becomes a question mark."""
@@ -104,12 +111,12 @@ def walk(value) -> Iterator[tuple[int, int, str | None, int, str, str | None, in
     """(node, parent, label, ord, kind, scalar, size) of every node of one value."""
     nodes = Nodes()
     nodes.add(0, value)
-    return zip(*nodes.columns[1:])
+    return zip(*nodes.columns[1:8])
 
 
 def shred(records: DataFrame, record_id: str, text: str) -> DataFrame:
-    """The adjacency table of nested records: a row per node with its parent, label, ordinal, kind, scalar and
-    number of children.
+    """The adjacency table of nested records: a row per node with its parent, label, ordinal, kind, scalar, number of
+    children, the labels of the three nodes above it, and the node that holds those.
 
     record_id must be an integer that tells records apart. What is no whole JSON or Python literal has no nodes, neither
     have null texts. Objects and arrays have no scalar; text scalars stand as written, true and false as such words.
@@ -131,7 +138,7 @@ def shred(records: DataFrame, record_id: str, text: str) -> DataFrame:
     return records.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("body")).where("record_id is not null").mapInArrow(nodes, NODE_SCHEMA)
 
 
-_ARROW = pa.schema([("record_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ord", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("size", pa.int32())])
+_ARROW = pa.schema([("record_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ord", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("size", pa.int32()), ("path", pa.string()), ("holder", pa.int32())])
 
 
 def node_table(records: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -139,13 +146,6 @@ def node_table(records: DataFrame, record_id: str, text: str) -> DataFrame:
     return scratch.table(shred(records, record_id, text).sortWithinPartitions("label"), "nodes")
 
 
-def children(nodes: DataFrame, parents: DataFrame, keep: Column | bool = True) -> DataFrame:
-    """Nodes under the given parents, with the parents' other columns (all but node) carried down."""
-    inner = parents.withColumnRenamed("node", "parent")
-    out = nodes.where(keep) if isinstance(keep, Column) else nodes
-    return out.join(inner, ["record_id", "parent"]).drop("parent")
-
-
 def scalars(nodes: DataFrame, names: list[str]) -> DataFrame:
     """One row per object node with the named scalar children as columns `kind_x` and `x`: join and pivot in one pass."""
     of = nodes.where(F.col("label").isin(names) & ~F.col("kind").isin("object", "array"))
@@ -176,14 +176,16 @@ def report_entities(reports: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def test_entities(nodes: DataFrame, records: DataFrame) -> DataFrame:
     """(report_id, node, task_id, test_group, outcome, ord, test_name): a row for each named test, linked to its record."""
-    holder = records.select(F.col("report_id").alias("record_id"), "node", "task_id", F.col("node").alias("record_node"))
-    status = children(nodes, holder, (F.col("label") == "tests_status") & (F.col("kind") == "object")).select("record_id", "node", "task_id", "record_node")
-    groups = children(nodes, status, F.col("label").isin(*GROUPS) & (F.col("kind") == "object")).select("record_id", "node", "task_id", "record_node", F.col("label").alias("test_group"))
-    lists = children(nodes, groups, F.col("label").isin(*OUTCOMES) & (F.col("kind") == "array")).select("record_id", "node", "task_id", "record_node", "test_group", F.col("label").alias("outcome"))
-    entries = children(nodes, lists, F.col("label").isNull())  # members of arrays have no label
+    paths = [f"tests_status/{g}/{o}" for g in GROUPS for o in OUTCOMES]
+    entries = nodes.where(F.col("label").isNull() & F.col("path").isin(paths))  # members of arrays have no label
+    place = ["record_id", "node", "holder", "path", "ord"]
+    plain = entries.where("kind <> 'object'").select(*place, F.col("scalar").alias("test_name"))
     names = scalars(nodes.where("label = 'name'"), ["name"])
-    out = entries.join(names, ["record_id", "node"], "left").withColumn("test_name", F.when(F.col("kind") == "object", F.col("name")).otherwise(F.col("scalar")))
-    return out.where("test_name is not null and test_name <> ''").select(F.col("record_id").alias("report_id"), "record_node", "node", "task_id", "test_group", "outcome", "ord", "test_name")
+    inner = entries.where("kind = 'object'").join(names, ["record_id", "node"]).select(*place, F.col("name").alias("test_name"))
+    held = records.select(F.col("report_id").alias("record_id"), F.col("node").alias("holder"), "task_id")
+    out = plain.union(inner).where("test_name is not null and test_name <> ''").join(held, ["record_id", "holder"])
+    part = F.split("path", "/")
+    return out.select(F.col("record_id").alias("report_id"), F.col("holder").alias("record_node"), "node", "task_id", part[1].alias("test_group"), part[2].alias("outcome"), "ord", "test_name")
 
 
 def flat_reports(reports: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
