@@ -9,14 +9,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runloom import scratch
+
 
 @dataclass(frozen=True)
 class Linear:
@@ -227,26 +229,124 @@ def boosted(df: DataFrame, y: str, features: list[str], fold: str, k: int = 5, r
     return _by_fold(df, fold, k, one)
 
 
-def text_blocks(text: str, category: str, features: list[str], size: int = 5000) -> Pipeline:
-    """One-hot category, dense features and TF-IDF of one and two words, fitted on whatever rows the pipeline is given."""
-    return Pipeline(stages=[
-        StringIndexer(inputCol=category, outputCol="_ci", handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol="_ci", outputCol="_c", handleInvalid="keep"),
-        RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True), NGram(n=2, inputCol="_w", outputCol="_b"),
-        CountVectorizer(inputCol="_w", outputCol="_tw", vocabSize=size, minDF=2.0), CountVectorizer(inputCol="_b", outputCol="_tb", vocabSize=size, minDF=2.0),
-        VectorAssembler(inputCols=["_tw", "_tb"], outputCol="_t"), IDF(inputCol="_t", outputCol="_ti"), Normalizer(inputCol="_ti", outputCol="_tn"),
-        VectorAssembler(inputCols=["_c", "_tn", *features], outputCol="_x"),
-    ])
+class Words:
+    """TF-IDF of words and pairs of words: the `size` terms that occur most in the training texts, ln((1 + n) / (1 + df)) + 1
+    as weight, rows of length 1."""
+
+    def __init__(self, train: DataFrame, text: str, out: str, size: int = 5000):
+        self.terms = [RegexTokenizer(inputCol=text, outputCol=f"{out}_w", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True), NGram(n=2, inputCol=f"{out}_w", outputCol=f"{out}_b")]
+        self.text, self.out = text, out
+        self.counts = CountVectorizer(inputCol=f"{out}_t", outputCol=f"{out}_c", vocabSize=size, minDF=1.0).fit(self._terms(train))
+        idf = IDF(inputCol=f"{out}_c", outputCol=f"{out}_i").fit(self.counts.transform(self._terms(train)))
+        self.weigh = [ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol=f"{out}_c", outputCol=f"{out}_i"), Normalizer(inputCol=f"{out}_i", outputCol=out)]
+
+    def _terms(self, df: DataFrame) -> DataFrame:
+        d = df.withColumn(self.text, F.coalesce(self.text, F.lit("")))
+        for t in self.terms:
+            d = t.transform(d)
+        return d.withColumn(f"{self.out}_t", F.concat(f"{self.out}_w", f"{self.out}_b"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        d = self.counts.transform(self._terms(df))
+        for w in self.weigh:
+            d = w.transform(d)
+        return d.drop(*[f"{self.out}_{x}" for x in "wbtci"])
+
+
+#: name -> (categories, whether the features are in, texts): the models that differ in what they are told.
+SPECS = {
+    "S": ((), True, ()), "M": (("combo",), False, ()), "T": (("repo",), False, ("task",)), "T+M": (("repo", "combo"), False, ("task",)),
+    "T+M+S": (("repo", "combo"), True, ("task",)), "T+M+S+A": (("repo", "combo"), True, ("task", "answer")), "T+M+S+R": (("repo", "combo"), True, ("task", "reasoning")), "M+S": (("combo",), True, ()),
+}
+
+
+def spec_risks(df: DataFrame, y: str, features: list[str], fold: str, group: str, specs: dict | None = None, once_a_group: tuple[str, ...] = ("task",), k: int = 5, size: int = 5000) -> DataFrame:
+    """df with a column risk_<spec> for each named spec: out-of-fold risks of one-hot categories, features and texts.
+
+    Categories and features are standardised on the training folds, texts weighed as Words on them; what a group shares
+    (`once_a_group`) is fitted on the training groups, each once. A category unknown in training has no column. Blocks are
+    made once a fold for all specs. Rows without a fold are predicted from all that have one.
+    """
+    specs = specs or SPECS
+    apart(df, fold, group)
+    categories = sorted({c for cs, _, _ in specs.values() for c in cs})
+    texts = sorted({t for _, _, ts in specs.values() for t in ts})
+    keep = df.columns
+
+    def one(train: DataFrame, test: DataFrame) -> DataFrame:
+        first = train.dropDuplicates([group])
+        blocks = [Words(first if t in once_a_group else train, t, f"_x_{t}", size) for t in texts]
+        levels = {c: [r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()] for c in categories}  # a column each
+        flags = {c: [(F.coalesce(F.col(c) == v, F.lit(False))).cast("double").alias(f"_{c}_{i}") for i, v in enumerate(vs)] for c, vs in levels.items()}
+        dense = {c: [f"_{c}_{i}" for i in range(len(vs))] for c, vs in levels.items()} | {"": [f"_f_{f}" for f in features]}
+        columns = [x for xs in dense.values() for x in xs]
+
+        def widen(d: DataFrame) -> DataFrame:
+            d = d.select("*", *[x for xs in flags.values() for x in xs], *[F.col(f).cast("double").alias(f"_f_{f}") for f in features])
+            for b in blocks:
+                d = b.transform(d)
+            return d
+
+        wide, told = widen(train), widen(test)
+        row = wide.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)], F.count(F.lit(1)).alias("n")).first()
+        scale = {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
+        standard = lambda d: d.withColumns({c: (F.coalesce(F.col(c), F.lit(m)) - m) / s for c, (m, s) in scale.items()})
+        # written once a fold, so that no fit makes the blocks again
+        wide, told = (scratch.table(standard(d).select(*keep, *columns, *[f"_x_{t}" for t in texts]), "blocks") for d in (wide, told))
+        for name, (cs, own, ts) in specs.items():
+            inputs = [x for c in cs for x in dense[c]] + (dense[""] if own else []) + [f"_x_{t}" for t in ts]
+            x = VectorAssembler(inputCols=inputs, outputCol="_v")
+            model = LogisticRegression(featuresCol="_v", labelCol=y, regParam=1.0 / max(row["n"], 1), standardization=False, maxIter=5000, tol=1e-4).fit(x.transform(wide).select("_v", y))
+            told = model.transform(x.transform(told)).withColumn(f"risk_{name}", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
+        return told.select(*keep, *[f"risk_{name}" for name in specs])
+
+    return _by_fold(df, fold, k, one)
 
 
 def text_risk(df: DataFrame, y: str, text: str, category: str, features: list[str], fold: str, k: int = 5) -> DataFrame:
     """df with `risk` from category, features and text, vocabulary and weights fitted on training folds only."""
-    keep = df.columns
+    row_group = df.withColumn("_row", F.monotonically_increasing_id())
+    out = spec_risks(row_group, y, features, fold, "_row", {"all": ((category,), True, (text,))}, once_a_group=(), k=k)
+    return out.withColumnRenamed("risk_all", "risk").drop("_row")
+
+
+def baselines(df: DataFrame, y: str, features: list[str], size: str, category: str, maker: str, group: str, fold: str, k: int = 5) -> DataFrame:
+    """df with the risks that a model must beat: risk_D (share of failures of the group's runs by other makers), risk_M
+    (category), risk_MN (category and log of the size), risk_MLEN (category, size and its log), risk_S (features),
+    risk_MS (category and features), risk_DM and risk_DMS (those with the logit of D).
+
+    D is the overall share where no other maker ran the group; it is no fitted model and knows the group's other labels.
+    """
+    of = [group, maker]
+    rest = Window.partitionBy(group)
+    own = Window.partitionBy(*of)
+    d = df.withColumn("_n", F.count(y).over(rest) - F.count(y).over(own)).withColumn("_f", F.sum(y).over(rest) - F.sum(y).over(own))
+    mean = df.agg(F.avg(y)).first()[0] or 0.0
+    d = d.withColumn("risk_D", F.when(F.col("_n") > 0, F.col("_f") / F.col("_n")).otherwise(F.lit(float(mean))))
+    p = F.least(F.lit(0.98), F.greatest(F.lit(0.02), F.col("risk_D")))
+    levels = [r[0] for r in df.select(category).where(F.col(category).isNotNull()).distinct().orderBy(category).collect()]  # a column each
+    m = [f"_m{i}" for i in range(len(levels))]
+    d = d.select("*", F.log1p(size).alias("_log"), F.log(p / (1 - p)).alias("_d"), *[F.coalesce(F.col(category) == v, F.lit(False)).cast("double").alias(c) for c, v in zip(m, levels)])
+    sets = {"M": m, "MN": [*m, "_log"], "MLEN": [*m, size, "_log"], "S": features, "MS": [*m, *features], "DM": [*m, "_d"], "DMS": [*m, *features, "_d"]}
+    keep = [c for c in d.columns if not c.startswith("_")]
+    for name, columns in sets.items():
+        d = out_of_fold(d, y, columns, fold, group, k).withColumnRenamed("risk", f"risk_{name}")
+        keep.append(f"risk_{name}")
+    return d.select(*keep)
+
+
+def clean_by_fold(df: DataFrame, y: str, features: list[str], anchors: list[str], fold: str, group: str, k: int = 5, limit: float = 0.8) -> DataFrame:
+    """df with `kept` and `risk`: features are chosen inside the training folds, by AUROC strength and closeness there,
+    and the model of the chosen ones predicts the fold."""
+    from runloom.operators.metrics import feature_aurocs, pearson
+
+    apart(df, fold, group)
 
     def one(train, test):
-        blocks = text_blocks(text, category, features).fit(train)
-        x = blocks.transform(train)
-        model = LogisticRegression(featuresCol="_x", labelCol=y, regParam=1.0 / max(train.count(), 1), maxIter=5000).fit(x)
-        return model.transform(blocks.transform(test)).withColumn("risk", vector_to_array("probability")[1]).select(*keep, "risk")
+        strength = {r.feature: r.strength for r in feature_aurocs(train, y, features).collect()}
+        corr = {(r.a, r.b): r.r for r in pearson(train, features).collect()}
+        kept = select_features(strength, corr, anchors, limit)
+        return predict(fit_logistic(train, y, kept), test, kept).withColumn("kept", F.lit(",".join(kept)))
 
     return _by_fold(df, fold, k, one)
 

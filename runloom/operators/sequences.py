@@ -82,10 +82,10 @@ def prefix_features(df: DataFrame, run: str, pos: str, step: str, size: str, n:
 
 
 def step_back(df: DataFrame, run: str, pos: str, text: str, back: int = 3, least: int = 30) -> DataFrame:
-    """(run, pos, text): the last text with at least `least` characters among the last back + 1; else the last."""
-    d = df.withColumn("_r", F.row_number().over(Window.partitionBy(run).orderBy(F.desc(pos)))).where(F.col("_r") <= back + 1)
-    rank = F.when(F.length(text) >= least, F.col("_r")).otherwise(F.col("_r") + back + 1)
-    return d.groupBy(run).agg(F.min_by(F.struct(pos, text), rank).alias("m")).select(run, "m.*")
+    """(run, pos, text): the last text with at least `least` characters among the last back + 1; runs without one are
+    left out."""
+    d = df.withColumn("_r", F.row_number().over(Window.partitionBy(run).orderBy(F.desc(pos)))).where((F.col("_r") <= back + 1) & (F.length(text) >= least))
+    return d.groupBy(run).agg(F.min_by(F.struct(pos, text), "_r").alias("m")).select(run, "m.*")
 
 
 def ordinal_patterns(df: DataFrame, run: str, pos: str, value: str, dim: int = 3) -> DataFrame:

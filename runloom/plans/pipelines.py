@@ -100,6 +100,27 @@ def text_risk(spark, d):
     return rounded(L.text_risk(f, "y", "text", "combo", FEATURES, "fold").select("run_id", "risk"))
 
 
+def baseline_aurocs(spark, d):
+    f = L.baselines(_frame(spark, d), "y", FEATURES, "n_steps", "combo", "model_family", "task_id", "fold")
+    risk = scratch.table(f, "baselines")
+    names = [c for c in risk.columns if c.startswith("risk_")]
+    long = risk.select("run_id", "y", F.explode(F.array(*[F.struct(F.lit(c[5:]).alias("model"), F.col(c).alias("risk")) for c in names])).alias("x")).select("run_id", "y", "x.*")
+    g = M.group_pairs(long, "y", "risk", "model").where("pairs > 0")
+    return rounded(g.select("model", (F.col("concordant") / F.col("pairs")).alias("auroc")))
+
+
+def cleaned_by_fold(spark, d):
+    f = L.clean_by_fold(_frame(spark, d), "y", FEATURES, ["score"], "fold", "task_id")
+    return rounded(f.groupBy("fold", "kept").agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("mean_risk")))
+
+
+def transfer_finished(spark, d):
+    f = _frame(spark, d).where("finished = 1")
+    t = L.transfer(f, "y", FEATURES, "model_family", "fold")
+    g = M.group_pairs(t, "y", "risk", "trained_on", "model_family").where("pairs > 0")
+    return rounded(g.select("trained_on", "model_family", (F.col("concordant") / F.col("pairs")).alias("auroc")))
+
+
 def stacked_risk(spark, d):
     risk = scratch.table(L.out_of_fold(_frame(spark, d), "y", FEATURES, "fold", "task_id"), "risk")
     return rounded(L.stack(risk, "y", "risk", "score", "fold", "task_id").select("run_id", "risk"))
@@ -246,6 +267,7 @@ QUERIES = {
     "structure_features": (structure_features, ""), "gold_runs": (gold_runs, ""), "pinned_values": (pinned_values, ""), "flat_settings": (flat_settings, ""), "error_share_interval": (error_share_interval, ""), "segment_after_last_edit": (segment_after_last_edit, ""),
     "command_events": (command_events, ""), "command_check_features": (check_features, ""), "command_outcomes": (outcome_counts, ""),
     "command_checks": (command_checks, ""), "check_block": (check_block, ""),
+    "baseline_aurocs": (baseline_aurocs, ""), "cleaned_by_fold": (cleaned_by_fold, ""), "transfer_finished": (transfer_finished, ""),
     "check_categories": (check_categories, f"WITH {ONCE_SQL} SELECT sum(len(list_filter(tool_calls, lambda x: x IS NOT NULL)))::BIGINT AS n_calls, 0 AS unjudged, 0 AS judged_without_check FROM once WHERE role = 'assistant' AND run_id IS NOT NULL"),
     "oof_logistic": (oof_logistic, ""), "oof_auroc": (oof_auroc, ""), "transfer_matrix": (transfer_matrix, ""), "linear_shap": (linear_shap, ""), "isotonic_calibration": (isotonic_calibration, ""),
     "boosted_risk": (boosted_risk, ""), "text_risk": (text_risk, ""), "stacked_risk": (stacked_risk, ""), "nested_selection": (nested_selection, ""), "vif_table": (vif_table, ""), "selected_features": (selected_features, ""),

@@ -86,7 +86,7 @@ QUERIES = {
         ", g AS (SELECT run_id, count(*) n FROM fr GROUP BY run_id) SELECT CASE WHEN n >= 10 THEN 'kept' ELSE 'too short' END AS reason, count(*) AS runs, sum(n)::BIGINT AS fragments FROM g GROUP BY 1",
         _FRAGS, "fr AS (SELECT * FROM fragments)",
     ),
-    "final_message_pick": _q(lambda a: Q.step_back(a.where("text is not null"), "run_id", "pos", "text"), ", r AS (SELECT run_id, pos, text, row_number() OVER (PARTITION BY run_id ORDER BY pos DESC) AS r FROM a WHERE text IS NOT NULL QUALIFY r <= 4) SELECT run_id, arg_min(pos, CASE WHEN length(text) >= 30 THEN r ELSE r + 4 END) AS pos, arg_min(text, CASE WHEN length(text) >= 30 THEN r ELSE r + 4 END) AS text FROM r GROUP BY run_id"),
+    "final_message_pick": _q(lambda a: Q.step_back(a.where("text is not null"), "run_id", "pos", "text"), ", r AS (SELECT run_id, pos, text, row_number() OVER (PARTITION BY run_id ORDER BY pos DESC) AS r FROM a WHERE text IS NOT NULL QUALIFY r <= 4) SELECT run_id, arg_min(pos, r) AS pos, arg_min(text, r) AS text FROM r WHERE length(text) >= 30 GROUP BY run_id"),
     "event_sessions": _q(lambda e: Q.sessions(e, "user_id", "ts", "event_id", 3600), ", n AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM n) SELECT user_id, session::BIGINT AS session, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, session", _EVENTS, "e AS (SELECT * FROM events)"),
     "permutation_entropy": _q(
         lambda e: Q.complexity(e, "user_id", "event_id", "value").select("user_id", "h", "c", "fisher"),

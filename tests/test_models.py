@@ -71,3 +71,30 @@ def test_stack_never_sees_the_test_fold(spark, data):
     gaps0 = d[(d.fold == 0) & d.other.isna()].i
     assert np.allclose(base[gaps0], again[gaps0], atol=1e-9)
     assert len(base) == len(d)
+
+
+def test_words_weigh_as_published(spark):
+    d = spark.createDataFrame([(0, "Red fox red", 1), (1, "red hen", 0), (2, None, 1)], "i int, text string, y int")
+    w = L.Words(d, "text", "x", size=100)
+    assert sorted(w.counts.vocabulary) == sorted(["red", "fox", "hen", "red fox", "fox red", "red hen"])
+    row = w.transform(d).where("i = 1").first()
+    v = dict(zip(w.counts.vocabulary, row.x.toArray()))
+    idf = {"red": np.log(4 / 3) + 1, "hen": np.log(4 / 2) + 1, "red hen": np.log(4 / 2) + 1}
+    norm = np.sqrt(sum(x * x for x in idf.values()))
+    assert all(v[k] == pytest.approx(x / norm) for k, x in idf.items()) and v["fox"] == 0
+    assert len(L.Words(d, "text", "x", size=1).counts.vocabulary) == 1
+
+
+def test_specs_baselines_and_cleaning(spark, data):
+    small = data.head(120).assign(combo=lambda x: "c" + (x.i % 3).astype(str), maker=lambda x: x.i % 4, task=lambda x: np.where(x.g.str[1:].astype(int) % 2 == 0, "even words here", "odd words there"), size=lambda x: x.a)
+    d = spark.createDataFrame(small)
+    out = L.spec_risks(d, "y", ["a"], "fold", "g", {"M+S": (("combo",), True, ()), "T": ((), False, ("task",))}, k=5)
+    p = out.toPandas()
+    assert len(p) == 120 and p["risk_T"].nunique() <= 10 and np.corrcoef(p["risk_M+S"], p.a)[0, 1] > 0.9
+    b = L.baselines(d, "y", ["a"], "size", "combo", "maker", "g", "fold").toPandas().set_index("i")
+    for i, r in small.set_index("i").iterrows():
+        rest = small[(small.g == r.g) & (small.maker != r.maker)]
+        assert b.risk_D[i] == pytest.approx(rest.y.mean() if len(rest) else small.y.mean())
+    assert {"risk_M", "risk_MN", "risk_MLEN", "risk_S", "risk_MS", "risk_DM", "risk_DMS"} <= set(b.columns)
+    c = L.clean_by_fold(d, "y", ["a", "b", "c"], ["a"], "fold", "g").toPandas()
+    assert set(c.kept) <= {"a", "a,c"} and len(c) == 120  # b is too close to a in every training set

@@ -146,3 +146,12 @@ def test_values_wrapped_any_number_of_times():
 def test_halves_of_surrogate_pairs(spark):
     d = spark.createDataFrame([(1, '{"a": "x\\ud800", "b": ["\\udc00", "é"]}')], "id long, body string")
     assert [r.scalar for r in S.shred(d, "id", "body").orderBy("node").collect()] == [None, "x?", None, "?", "é"]
+
+
+def test_no_message_is_picked_where_all_are_short(spark):
+    from runloom.operators import sequences as Q
+
+    long = "This one is long enough to be picked."
+    rows = [("a", 0, long), *[("a", i, "ok") for i in (1, 2, 3)], ("b", 0, long), *[("b", i, "ok") for i in (1, 2, 3, 4)], ("c", 0, "ok"), ("d", 0, long), ("d", 1, long + "!"), ("e", 0, None)]
+    out = Q.step_back(spark.createDataFrame(rows, "run string, pos int, text string"), "run", "pos", "text").collect()
+    assert sorted((r.run, r.pos) for r in out) == [("a", 0), ("d", 1)]
