@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from runloom import scratch
 from runloom.llm.pages import FEATURES, features
 
+#: What the trees see: how a page falls into units and lines. What the rules of weak_label() look at is left to the rules,
+#: else the trees would learn the rules again and not what the pages that they label have in common.
+SEEN = ("heap_share", "heap_units", "longest_unit", "distinct", "link_chars", "bullets", "short_lines", "capital_starts")
+
 _SCHEMA = "doc_id long, host string, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
@@ -45,11 +49,11 @@ def weak_label(votes_needed: int = 2):
     return F.when(votes >= votes_needed, 1).when((votes == 0) & (F.col("function_words") > 0.3), 0)
 
 
-def score_pages(pages: DataFrame, *, trees: int = 20, depth: int = 5, sample: int = 5_000, host_weight: float = 0.2, host_prior: float = 20.0, seed: int = 7) -> DataFrame:
+def score_pages(pages: DataFrame, *, trees: int = 20, depth: int = 5, sample: int = 20_000, host_weight: float = 0.2, host_prior: float = 20.0, seed: int = 7) -> DataFrame:
     """(doc_id, host, heap_share, page_score, host_rate, score) for page_features().
 
-    Trees are bagged on at most `sample` weakly labelled pages of each label (the bound on what is fitted), taken by the
-    hash of doc_id; every page is scored. A host's rate is the mean score of all its pages, drawn to the overall mean as
+    Trees over SEEN are bagged on at most `sample` weakly labelled pages of each label (the bound on what is fitted), taken by the
+    hash of doc_id, with a bin for every value, so that a split lies midway between two pages; every page is scored. A host's rate is the mean score of all its pages, drawn to the overall mean as
     by host_prior more pages; score = (1 - host_weight) * page_score + host_weight * host_rate. If only one label
     occurs, the weak label, or else the heap share, stands for the trees' score. A page without text of its own is not
     fitted on and has page_score 0. Empty input gives no rows.
@@ -60,10 +64,11 @@ def score_pages(pages: DataFrame, *, trees: int = 20, depth: int = 5, sample: in
     order = F.xxhash64("doc_id", F.lit(seed))
     parts = [labelled.where(F.col("label") == x).orderBy(order, "doc_id").limit(sample) for x in (0.0, 1.0)]
     drawn = scratch.table(parts[0].union(parts[1]).coalesce(2), "drawn")
-    seen = {r[0] for r in drawn.select("label").distinct().collect()}
+    seen = {r[0]: r[1] for r in drawn.groupBy("label").count().collect()}
     if len(seen) == 2:
-        assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="v")
-        forest = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed)
+        leaf = max(1, min(seen.values()) // 50)  # a few wrong labels make no leaf
+        assembler = VectorAssembler(inputCols=list(SEEN), outputCol="v")
+        forest = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=1.0, maxBins=max(32, 2 * sample), minInstancesPerNode=leaf, seed=seed)
         model = forest.fit(assembler.transform(drawn))
         scored = model.transform(assembler.transform(pages)).withColumn("page_score", vector_to_array("probability")[1])
     else:
