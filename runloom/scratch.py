@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def counted(df: DataFrame, of: Column, label: str = "t") -> tuple[DataFrame, int]:
-    """table(), and the value of an aggregate taken while it is written, without a second job."""
-    seen = Observation()
-    out = table(df.observe(seen, of.alias("n")), label)
-    return out, seen.get["n"] or 0
+    """table(), and the value of an aggregate of what was written.
+
+    A second, small job: an Observation would save it, but once a session has made one, plans with models can't be sent.
+    """
+    out = table(df, label)
+    return out, out.agg(of.alias("n")).first()["n"] or 0
 
 
 def table(df: DataFrame, label: str = "t", files: int | None = None) -> DataFrame:
