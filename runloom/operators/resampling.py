@@ -31,20 +31,28 @@ def poisson_weight(u: Column) -> Column:
     return sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
 
 
+def drawn(stats: DataFrame, unit: str, n_draws: int) -> DataFrame:
+    """stats once a draw with `draw` and its weight `w` as in draws(), and once as they are, as draw -1.
+
+    The weights are worked out in place. A join with draws() would broadcast units times draws, as adaptive execution takes
+    the few units for the size of what is exploded from them; for the same reason the rows are first spread over tasks.
+    """
+    tasks = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = stats.where(F.col(unit).isNotNull()).repartition(tasks, unit).withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(n_draws - 1))))
+    return each.withColumn("w", F.when(F.col("draw") < 0, 1).otherwise(poisson_weight(poisson_hash(F.col(unit), F.col("draw")))))
+
+
 def cluster_bootstrap(stats: DataFrame, unit: str, num: str, den: str, model: str, n_draws: int, strata: str | None = None) -> DataFrame:
     """(model, estimate, lo, hi) of sum(num)/sum(den) over units; stats has one row per unit and model. With strata (a
     column of the units) the ratio is taken inside each stratum and averaged over those where it is defined."""
-    w = draws(stats.select(unit).distinct(), unit, n_draws)
     num_, den_ = F.sum(F.col("w") * F.col(num)), F.sum(F.col("w") * F.col(den))
+    by = drawn(stats.where(F.col(model).isNotNull()), unit, n_draws)
     if strata:
-        inside = stats.where(F.col(strata).isNotNull()).withColumn("w", F.lit(1.0))
-        by = stats.where(F.col(strata).isNotNull()).join(w, unit).groupBy(model, "draw", strata).agg(F.when(den_ > 0, num_ / den_).alias("v")).groupBy(model, "draw").agg(F.avg("v").alias("v"))
-        est = inside.groupBy(model, strata).agg(F.when(den_ > 0, num_ / den_).alias("v")).groupBy(model).agg(F.avg("v").alias("estimate"))
+        by = by.where(F.col(strata).isNotNull()).groupBy(model, "draw", strata).agg(F.when(den_ > 0, num_ / den_).alias("v")).groupBy(model, "draw").agg(F.avg("v").alias("v"))
     else:
-        by = stats.join(w, unit).groupBy(model, "draw").agg((num_ / den_).alias("v"))
-        est = stats.groupBy(model).agg((F.sum(num) / F.sum(den)).alias("estimate"))
-    ci = by.groupBy(model).agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi"))
-    return est.join(ci, model)
+        by = by.groupBy(model, "draw").agg((num_ / den_).alias("v"))
+    v = F.when(F.col("draw") >= 0, F.col("v"))
+    return by.groupBy(model).agg(F.max(F.when(F.col("draw") < 0, F.col("v"))).alias("estimate"), F.percentile(v, 0.025).alias("lo"), F.percentile(v, 0.975).alias("hi"))
 
 
 def _verdict(values: DataFrame, estimate: DataFrame, alpha: float, tests: int) -> DataFrame:

@@ -56,3 +56,15 @@ def test_ratios_inside_strata(spark, rows):
 
 def test_draws_are_the_reference_counts():
     assert (P.N_DRAWS, P.N_PERM, P.N_SUB) == (1000, 1000, 200)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("strata", [None, "fold"])
+def test_draws_of_ratios_are_not_joined(spark, strata):
+    """A join would broadcast units times draws, which no driver holds."""
+    st = spark.createDataFrame([(u * 7919, u % 2, m, float(u % 5), 4.0) for u in range(9) for m in "ab"] + [(None, 0, "a", 9.0, 9.0), (1, 0, None, 9.0, 9.0)], "unit long, fold int, model string, num double, den double")
+    out = R.cluster_bootstrap(st, "unit", "num", "den", "model", N, strata)
+    assert "Join" not in plan(out) and sorted(r.model for r in out.collect()) == ["a", "b"]
