@@ -55,35 +55,31 @@ def cluster_bootstrap(stats: DataFrame, unit: str, num: str, den: str, model: st
     return by.groupBy(model).agg(F.max(F.when(F.col("draw") < 0, F.col("v"))).alias("estimate"), F.percentile(v, 0.025).alias("lo"), F.percentile(v, 0.975).alias("hi"))
 
 
-def _verdict(values: DataFrame, estimate: DataFrame, alpha: float, tests: int) -> DataFrame:
-    cut = alpha / tests / 2
-    ci = values.agg(F.percentile("v", cut).alias("lo"), F.percentile("v", 1 - cut).alias("hi"), ((F.count_if(F.col("v") <= 0) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+def _verdict(values: DataFrame, alpha: float, tests: int) -> DataFrame:
+    """values: (draw, v), draw -1 being the rows as they are."""
+    cut, drawn_ = alpha / tests / 2, F.col("draw") >= 0
+    v = F.when(drawn_, F.col("v"))
+    ci = values.agg(F.max(F.when(~drawn_, F.col("v"))).alias("difference"), F.percentile(v, cut).alias("lo"), F.percentile(v, 1 - cut).alias("hi"), ((F.count_if(v <= 0) + 1) / (F.count_if(drawn_) + 1)).alias("p_value"))
     verdict = F.when(F.col("lo") > 0, "gain").when(F.col("hi") < 0, "loss").otherwise("not shown")
-    return estimate.join(ci).withColumn("verdict", verdict)
+    return ci.withColumn("verdict", verdict)
 
 
 def paired_difference(stats: DataFrame, unit: str, num: str, den: str, model: str, a: str, b: str, n_draws: int, alpha: float = 0.05, tests: int = 1, strata: str | None = None) -> DataFrame:
     """(difference, lo, hi, p_value, verdict): model a less model b on shared draws, interval at alpha / tests. With strata
     the difference is taken inside each stratum and averaged."""
-    w = draws(stats.select(unit).distinct(), unit, n_draws)
 
-    def ratio(m, weight):
-        on = F.when(F.col(model) == m, weight)
+    def ratio(m):
+        on = F.when(F.col(model) == m, F.col("w"))
         below = F.sum(on * F.col(den))
         return F.sum(on * F.col(num)) / (F.when(below > 0, below) if strata else below)
 
-    def less(weight):
-        return (ratio(a, weight) - ratio(b, weight)).alias("v")
-
-    one = F.lit(1.0)
+    less = (ratio(a) - ratio(b)).alias("v")
+    by = drawn(stats, unit, n_draws)
     if strata:
-        stats = stats.where(F.col(strata).isNotNull())
-        diff = stats.join(w, unit).groupBy("draw", strata).agg(less(F.col("w"))).groupBy("draw").agg(F.avg("v").alias("v")).where("v is not null")
-        est = stats.groupBy(strata).agg(less(one)).agg(F.avg("v").alias("difference"))
+        by = by.where(F.col(strata).isNotNull()).groupBy("draw", strata).agg(less).groupBy("draw").agg(F.avg("v").alias("v")).where("v is not null")
     else:
-        diff = stats.join(w, unit).groupBy("draw").agg(less(F.col("w")))
-        est = stats.agg(less(one).alias("difference"))
-    return _verdict(diff, est, alpha, tests)
+        by = by.groupBy("draw").agg(less)
+    return _verdict(by, alpha, tests)
 
 
 def fold_auroc_difference(df: DataFrame, y: str, a: str, b: str, unit: str, fold: str, n_draws: int, alpha: float = 0.05, tests: int = 1) -> DataFrame:
@@ -103,7 +99,7 @@ def fold_auroc_difference(df: DataFrame, y: str, a: str, b: str, unit: str, fold
     pairs = F.sum("pos") * F.sum("neg")
     each = x.groupBy("draw", fold, "m").agg(F.when(pairs > 0, F.sum(F.col("pos") * F.col("below")) / pairs).alias("auroc"))
     v = each.groupBy("draw").agg((F.avg(F.when(F.col("m") == 0, F.col("auroc"))) - F.avg(F.when(F.col("m") == 1, F.col("auroc")))).alias("v"))
-    return _verdict(v.where("draw >= 0 and v is not null"), v.where("draw = -1").select(F.col("v").alias("difference")), alpha, tests)
+    return _verdict(v.where("v is not null"), alpha, tests)
 
 
 def permutation_null(df: DataFrame, y: str, score: str, unit: str, tie: str, n_perm: int) -> DataFrame:

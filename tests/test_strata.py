@@ -68,3 +68,10 @@ def test_draws_of_ratios_are_not_joined(spark, strata):
     st = spark.createDataFrame([(u * 7919, u % 2, m, float(u % 5), 4.0) for u in range(9) for m in "ab"] + [(None, 0, "a", 9.0, 9.0), (1, 0, None, 9.0, 9.0)], "unit long, fold int, model string, num double, den double")
     out = R.cluster_bootstrap(st, "unit", "num", "den", "model", N, strata)
     assert "Join" not in plan(out) and sorted(r.model for r in out.collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("strata", [None, "fold"])
+def test_draws_of_differences_are_not_joined(spark, strata):
+    st = spark.createDataFrame([(u * 7919, u % 2, m, float(u % 5), 4.0) for u in range(9) for m in "ab"] + [(None, 0, "a", 9.0, 9.0)], "unit long, fold int, model string, num double, den double")
+    out = R.paired_difference(st, "unit", "num", "den", "model", "a", "b", N, strata=strata)
+    assert "Join" not in plan(out) and tuple(out.first()) == (0.0, 0.0, 0.0, 1.0, "not shown")
