@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,22 +84,71 @@ def paired_difference(stats: DataFrame, unit: str, num: str, den: str, model: st
     return _verdict(by, alpha, tests)
 
 
+ROWS = 512  # cells that are weighted for all draws at once
+
+
+def _drawn_pieces(fold: str, unit: str, n_draws: int):
+    """A function of sorted cells (fold, m, v, unit, pos, neg) to a piece's weighted sums in each draw, draw -1 unweighted:
+    (fold, m, least v, draw, pos, neg, u), u being its positives times the negatives below them, ties half."""
+
+    def pieces(batches):
+        h = np.arange(_M, dtype=np.int64)
+        weight = np.tile(np.searchsorted(POISSON, h * h % _M / float(_M), side="right").astype(float), 2)
+        step = (np.arange(n_draws, dtype=np.int64) * _B + _C) % _M
+        key = first = at = None
+        zero = np.zeros(n_draws + 1)
+        total_p, total_n, u, p, n = zero, zero, zero, zero, zero  # p, n: of the value `at`, which may go on
+
+        def done():
+            return pd.DataFrame({"fold": [key[0]] * (n_draws + 1), "m": key[1], "v": first, "draw": np.arange(-1, n_draws), "pos": total_p + p, "neg": total_n + n, "u": u + p * (total_n + n / 2)})
+
+        for b in batches:
+            new = (b[fold].ne(b[fold].shift()) | b["m"].ne(b["m"].shift())).to_numpy()
+            cuts = np.unique(np.concatenate([np.flatnonzero(new), np.arange(0, len(b), ROWS), [len(b)]]))
+            folds, ms, vs, pos, neg = b[fold].to_numpy(), b["m"].to_numpy(), b["v"].to_numpy(), b["pos"].to_numpy(float), b["neg"].to_numpy(float)
+            res = b[unit].to_numpy(np.int64) % _M * (_A % _M) % _M
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if key != (folds[i], ms[i]):
+                    if key is not None:
+                        yield done()
+                    key, first, at = (folds[i], ms[i]), vs[i], None
+                    total_p, total_n, u, p, n = zero, zero, zero, zero, zero
+                w = np.ones((j - i, n_draws + 1))
+                w[:, 1:] = weight[res[i:j, None] + step]
+                starts = np.flatnonzero(np.concatenate([[True], vs[i + 1 : j] != vs[i : j - 1]]))
+                ps, ns = np.add.reduceat(w * pos[i:j, None], starts), np.add.reduceat(w * neg[i:j, None], starts)
+                if at is not None and at == vs[i]:
+                    ps[0] += p
+                    ns[0] += n
+                else:
+                    total_p, total_n, u = total_p + p, total_n + n, u + p * (total_n + n / 2)
+                full = ns[:-1]
+                u = u + (ps[:-1] * (total_n + np.cumsum(full, axis=0) - full / 2)).sum(axis=0)
+                total_p, total_n = total_p + ps[:-1].sum(axis=0), total_n + full.sum(axis=0)
+                p, n, at = ps[-1], ns[-1], vs[j - 1]
+        if key is not None:
+            yield done()
+
+    return pieces
+
+
 def fold_auroc_difference(df: DataFrame, y: str, a: str, b: str, unit: str, fold: str, n_draws: int, alpha: float = 0.05, tests: int = 1) -> DataFrame:
     """(difference, lo, hi, p_value, verdict) of the fold-averaged AUROC of score a less that of b, units drawn inside
     their folds. Folds where a draw has one class only are left out of its average, draws without any fold of the rest.
 
-    Rows become counts per (unit, score) before they meet the draws; weighted counts are ranked once per fold and draw.
+    Rows become counts per (unit, score), sorted by fold and score over all tasks. A task sums its piece of the order up for
+    each draw, so that what is shuffled grows as tasks and draws, and pieces are put together by the negatives before them.
     """
-    d = df.where(F.col(fold).isNotNull()).dropna(subset=[y, a, b])
-    units = d.select(unit).distinct()
-    w = draws(units, unit, n_draws).where("w > 0").unionByName(units.withColumn("draw", F.lit(-1)).withColumn("w", F.lit(1)))  # draw -1: the rows as they are
+    d = df.where(F.col(fold).isNotNull() & F.col(unit).isNotNull()).dropna(subset=[y, a, b])
     models = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate((a, b))])).alias("x")
-    cells = d.select(unit, fold, y, models).groupBy(unit, fold, "x.m", "x.v").agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    x = cells.join(w, unit).groupBy("draw", fold, "m", "v").agg(F.sum(F.col("w") * F.col("pos")).cast("double").alias("pos"), F.sum(F.col("w") * F.col("neg")).cast("double").alias("neg"))
-    up = Window.partitionBy("draw", fold, "m").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("below", F.sum("neg").over(up) - F.col("neg") / 2)
+    cells = d.select(unit, fold, y, models).groupBy(unit, fold, "x.m", "x.v").agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartitionByRange(tasks, fold, "m", "v").sortWithinPartitions(fold, "m", "v")  # a value is never cut
+    x = cells.mapInPandas(_drawn_pieces(fold, unit, n_draws), f"fold {df.schema[fold].dataType.simpleString()}, m int, v double, draw int, pos double, neg double, u double")
+    before = Window.partitionBy("draw", "fold", "m").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
     pairs = F.sum("pos") * F.sum("neg")
-    each = x.groupBy("draw", fold, "m").agg(F.when(pairs > 0, F.sum(F.col("pos") * F.col("below")) / pairs).alias("auroc"))
+    each = x.groupBy("draw", "fold", "m").agg(F.when(pairs > 0, F.sum(F.col("u") + F.col("pos") * F.col("below")) / pairs).alias("auroc"))
     v = each.groupBy("draw").agg((F.avg(F.when(F.col("m") == 0, F.col("auroc"))) - F.avg(F.when(F.col("m") == 1, F.col("auroc")))).alias("v"))
     return _verdict(v.where("v is not null"), alpha, tests)
 

@@ -75,3 +75,13 @@ def test_draws_of_differences_are_not_joined(spark, strata):
     st = spark.createDataFrame([(u * 7919, u % 2, m, float(u % 5), 4.0) for u in range(9) for m in "ab"] + [(None, 0, "a", 9.0, 9.0)], "unit long, fold int, model string, num double, den double")
     out = R.paired_difference(st, "unit", "num", "den", "model", "a", "b", N, strata=strata)
     assert "Join" not in plan(out) and tuple(out.first()) == (0.0, 0.0, 0.0, 1.0, "not shown")
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 7, 512])
+def test_draws_of_folds_are_not_joined(spark, rows, rows_at_once, monkeypatch):
+    d, _ = rows
+    monkeypatch.setattr(R, "ROWS", rows_at_once)
+    want = tuple(R.fold_auroc_difference(spark.createDataFrame(d), "y", "a", "b", "unit", "fold", N).first())
+    more = spark.createDataFrame(d).selectExpr("unit", "y", "a", "b", "concat('f', fold) as fold").union(spark.createDataFrame([(None, 1, 9.0, 9.0, "f0"), (5, 1, 9.0, 9.0, None)], "unit long, y long, a double, b double, fold string"))
+    out = R.fold_auroc_difference(more, "y", "a", "b", "unit", "fold", N)
+    assert "Join" not in plan(out) and tuple(out.first()) == pytest.approx(want)
