@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,26 @@ def rule_values(subsets: DataFrame, unit: str, solved: str, risk: str, submitted
     return at.select(unit, "subset", "random", some(F.col("s")).alias("submitted"), some(F.col("l")).alias("lowest_risk"), some(F.col("f")).alias("finished"), some(F.col("fl")).alias("finished_lowest"), "oracle")
 
 
-def pooled_rules(values: DataFrame, unit: str, rules: list[str], base: str = "submitted") -> DataFrame:
+def pooled_rules(values: DataFrame, unit: str, rules: list[str], k: int, base: str = "submitted") -> DataFrame:
     """(rule, solved, delta_pp, gap_closed): mean over units of the mean over subsets; gain over base in points and as a
-    share of what the oracle would gain."""
-    per = values.groupBy(unit).agg(*[F.avg(r).alias(r) for r in {*rules, base, "oracle"}])
-    m = per.agg(*[F.avg(r).alias(r) for r in sorted({*rules, base, "oracle"})])
+    share of what the oracle would gain. values are rule_values() of subsets of at most k attempts with solved 0 or 1.
+
+    Values are counted in whole parts, so that totals and what is rounded later don't depend on the order of rows.
+    """
+    names, parts = sorted({*rules, base, "oracle"}), math.lcm(*range(1, k + 1))
+    per = values.where("oracle is not null").groupBy(unit).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.round(F.col(r) * parts).cast("long")).alias(r) for r in names])
+    # subset_draws makes as many subsets for each unit, so there is one n and each quotient below is of whole numbers
+    by = per.groupBy("n").agg(F.count(F.lit(1)).alias("units"), *[F.sum(r).alias(r) for r in names])
+    m = by.agg(F.sort_array(F.collect_list(F.struct("n", "units", *names))).alias("x"), F.max("n").alias("most"), F.sum("units").alias("units"))
+
+    def total(r):
+        return F.aggregate("x", F.lit(0.0), lambda acc, t: acc + t[r] * F.col("most") / t["n"]).alias(r)
+
+    m = m.select((F.col("most") * F.col("units") * parts).alias("of"), *map(total, names))
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("solved")) for r in rules])
-    x = m.select(base, "oracle", F.explode(rows).alias("x")).select(F.col(base).alias("b"), F.col("oracle").alias("o"), "x.*")
-    return x.select("rule", "solved", (100 * (F.col("solved") - F.col("b"))).alias("delta_pp"), F.when(F.col("o") > F.col("b"), (F.col("solved") - F.col("b")) / (F.col("o") - F.col("b"))).alias("gap_closed"))
+    x = m.select("of", F.col(base).alias("b"), F.col("oracle").alias("o"), F.explode(rows).alias("x")).select("of", "b", "o", "x.*")
+    more = F.col("solved") - F.col("b")
+    return x.select("rule", (F.col("solved") / F.col("of")).alias("solved"), (100 * more / F.col("of")).alias("delta_pp"), F.when(F.col("o") > F.col("b"), more / (F.col("o") - F.col("b"))).alias("gap_closed"))
 
 
 def check_attempts(attempts: DataFrame, unit: str, attempt: str) -> DataFrame:

@@ -79,5 +79,5 @@ QUERIES = {
     "group_fold_map": _q(lambda d: R.group_folds(d, "task_id"), "SELECT DISTINCT task_id, (('0x' || substr(md5(task_id), 1, 8))::BIGINT % 5)::INTEGER AS fold FROM d"),
     "attempt_checks": _q(lambda d: S.check_attempts(_attempts(d), "task_id", "run_id"), ", g AS (SELECT task_id, count(*) n, count(DISTINCT run_id) u, count(*) - count(run_id) z FROM d GROUP BY task_id), t AS (SELECT count(*) FILTER (n <> u + z) AS repeated, count(*) FILTER (z > 0) AS unnamed FROM g) SELECT 'repeated' AS check, repeated AS failed FROM t UNION ALL SELECT 'unnamed', unnamed FROM t UNION ALL SELECT 'empty', 0 FROM t"),
     "best_of_k": _q(_rules, f"{_RULES_SQL} SELECT task_id, subset::INTEGER AS subset, " + ", ".join(f"round({r}, 6) AS {r}" for r in _RULES) + " FROM v"),
-    "gap_closed": _q(lambda d: S.pooled_rules(_rules(d), "task_id", _RULES), f"{_RULES_SQL}, u AS (SELECT task_id, " + ", ".join(f"avg({r}) AS {r}" for r in _RULES) + " FROM v GROUP BY task_id), m AS (SELECT " + ", ".join(f"avg({r}) AS {r}" for r in _RULES) + " FROM u) " + " UNION ALL ".join(f"SELECT '{r}' AS rule, round({r}, 6) AS solved, round(100 * ({r} - submitted), 6) AS delta_pp, CASE WHEN oracle > submitted THEN round(({r} - submitted) / (oracle - submitted), 6) END AS gap_closed FROM m" for r in _RULES)),
+    "gap_closed": _q(lambda d: S.pooled_rules(_rules(d), "task_id", _RULES, 3), f"{_RULES_SQL}, u AS (SELECT task_id, " + ", ".join(f"avg({r}) AS {r}" for r in _RULES) + " FROM v GROUP BY task_id), m AS (SELECT " + ", ".join(f"avg({r}) AS {r}" for r in _RULES) + " FROM u) " + " UNION ALL ".join(f"SELECT '{r}' AS rule, round({r}, 6) AS solved, round(100 * ({r} - submitted), 6) AS delta_pp, CASE WHEN oracle > submitted THEN round(({r} - submitted) / (oracle - submitted), 6) END AS gap_closed FROM m" for r in _RULES)),
 }
