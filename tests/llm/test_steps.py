@@ -117,6 +117,14 @@ def test_long_conversations(spark, steps, chunk, monkeypatch):
     assert [(r.run_id, r.turn, r.step_idx, r.role) for r in out] == [("long", i, i // 5, "assistant" if i % 5 else "user") for i in range(65)]
 
 
+def test_rows_without_step_are_not_merged(spark):
+    """Merging them changes nothing that follows."""
+    d = messages(spark, GOOD + [("x", None, 0, "ai", "a", 1)] * 2)
+    m = conversations.messages(d).where("step_idx is null")
+    assert [(r.run_id, r.damaged, r.clash, r.k, r.at) for r in m.collect()] == [("x", True, False, None, None)] * 2
+    assert [(r.run_id, r.damaged) for r in conversations.broken(conversations.conversation_faults(d)).collect()] == [("x", True)]
+
+
 def exports(spark, rows):
     return spark.createDataFrame([(c, i, m) for c, i, m in rows], "conversation string, id long, messages array<long>").withColumn("path", F.lit("clash"))
 
