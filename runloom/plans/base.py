@@ -27,10 +27,12 @@ def run_features(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("run_id").agg(F.count_if(a).alias("n_steps"), F.count_if("error").alias("n_err"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.when(a, F.lower(F.trim("tool")))).alias("n_tools"))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
+def scored(spark: SparkSession, d: str, merge: bool = False) -> DataFrame:
+    """merge: runs are sorted to their features and never broadcast. Without it they are as long as the columns read take
+    less of the file than the broadcast limit, and the driver then holds several times that for each use in a plan."""
     runs = load(spark, d, "runs", "run_id", "task_id", "agent_id", "model_id", "model_family", "source", "label", "submitted").where("label is not null")
     major = F.regexp_extract("agent_id", r"-(\d+)\.", 1)
-    j = runs.join(run_features(spark, d), "run_id")
+    j = (runs.hint("merge") if merge else runs).join(run_features(spark, d), "run_id")
     fold = F.conv(F.substring(F.md5("task_id"), 1, 8), 16, 10).cast("long") % 5
     return j.select("run_id", "task_id", F.split("task_id", "__")[0].alias("owner"), F.concat_ws("|", "model_id", major).alias("combo"), "model_family", "source", F.col("label").alias("y"), F.coalesce("submitted", F.lit(0)).alias("finished"), "n_steps", "n_err", "n_rows", "n_tools", (F.col("n_err") / F.col("n_rows")).alias("score"), fold.cast("int").alias("fold"))
 

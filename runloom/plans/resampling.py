@@ -18,8 +18,8 @@ def _unit(c="task_id"):
     return F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("long")
 
 
-def _q(make, sql):
-    return (lambda spark, d: rounded(make(scored(spark, d)))), f"WITH {SCORED_SQL}\n{sql}" if sql else ""
+def _q(make, sql, merge=False):
+    return (lambda spark, d: rounded(make(scored(spark, d, merge)))), f"WITH {SCORED_SQL}\n{sql}" if sql else ""
 
 
 def _stats(d):
@@ -67,7 +67,7 @@ QUERIES = {
     "bootstrap_ci_cluster": _q(lambda d: R.cluster_bootstrap(_stats(d), "unit", "concordant", "pairs", "model", N_DRAWS), f"{_STATS_SQL}, b AS (SELECT model, draw, sum(w * c) / sum(w * n) AS v FROM st JOIN w USING (unit) GROUP BY model, draw), e AS (SELECT model, sum(c) / sum(n) AS estimate FROM st GROUP BY model) SELECT e.model, round(any_value(estimate), 6) AS estimate, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM b JOIN e USING (model) GROUP BY e.model"),
     "bootstrap_paired_diff": _q(lambda d: R.paired_difference(_stats(d), "unit", "concordant", "pairs", "model", "score", "n_steps", N_DRAWS, tests=3), f"{_STATS_SQL}, b AS (SELECT draw, sum(w * c) FILTER (model = 'score') / sum(w * n) FILTER (model = 'score') - sum(w * c) FILTER (model = 'n_steps') / sum(w * n) FILTER (model = 'n_steps') AS v FROM st JOIN w USING (unit) GROUP BY draw), i AS (SELECT quantile_cont(v, 0.05 / 6) AS lo, quantile_cont(v, 1 - 0.05 / 6) AS hi, (count(*) FILTER (v <= 0) + 1) / (count(*) + 1) AS p FROM b) SELECT round((SELECT sum(c) FILTER (model = 'score') / sum(n) FILTER (model = 'score') - sum(c) FILTER (model = 'n_steps') / sum(n) FILTER (model = 'n_steps') FROM st), 6) AS difference, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p_value, CASE WHEN lo > 0 THEN 'gain' WHEN hi < 0 THEN 'loss' ELSE 'not shown' END AS verdict FROM i"),
     "bootstrap_fold_auroc": _q(lambda d: R.fold_auroc_difference(d.withColumn("unit", _unit()), "y", "score", "n_steps", "unit", "fold", N_DRAWS), ""),
-    "bootstrap_fold_diff": _q(lambda d: R.paired_difference(_stats(d).withColumn("fold", F.conv(F.substring(F.md5("task_id"), 1, 8), 16, 10).cast("long") % 5), "unit", "concordant", "pairs", "model", "score", "n_steps", N_DRAWS, strata="fold"), ""),
+    "bootstrap_fold_diff": _q(lambda d: R.paired_difference(_stats(d).withColumn("fold", F.conv(F.substring(F.md5("task_id"), 1, 8), 16, 10).cast("long") % 5), "unit", "concordant", "pairs", "model", "score", "n_steps", N_DRAWS, strata="fold"), "", merge=True),
     "bootstrap_share": _q(_share, f", st AS (SELECT {_NUM} AS unit, sum(y) AS c, count(*) AS n FROM d GROUP BY task_id), dr AS (SELECT unit, draw, {_HASH.format(u='unit')} AS u FROM (SELECT DISTINCT unit FROM st), range(0, {N_DRAWS}) r(draw)), b AS (SELECT draw, sum(w * c) / sum(w * n) AS v FROM (SELECT unit, draw, " + " + ".join(f"(u >= {p})::INT" for p in R.POISSON) + " AS w FROM dr) JOIN st USING (unit) GROUP BY draw) SELECT 'failed share' AS model, (SELECT round(sum(c) / sum(n), 6) FROM st) AS estimate, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM b"),
     "permutation_within_unit": _q(
         lambda d: R.permutation_null(d, "y", "score", "task_id", "run_id", N_PERM),

@@ -85,3 +85,17 @@ def test_draws_of_folds_are_not_joined(spark, rows, rows_at_once, monkeypatch):
     more = spark.createDataFrame(d).selectExpr("unit", "y", "a", "b", "concat('f', fold) as fold").union(spark.createDataFrame([(None, 1, 9.0, 9.0, "f0"), (5, 1, 9.0, 9.0, None)], "unit long, y long, a double, b double, fold string"))
     out = R.fold_auroc_difference(more, "y", "a", "b", "unit", "fold", N)
     assert "Join" not in plan(out) and tuple(out.first()) == pytest.approx(want)
+
+
+def test_runs_of_fold_differences_are_not_broadcast(spark):
+    """The limit is that of sessions which don't set one; the plan that ran counts, as adaptive execution may change a join."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(limit)
+    spark.conf.set(limit, "10m")
+    try:
+        out = P.QUERIES["bootstrap_fold_diff"][0](spark, "/root/testdata/sf0.001")
+        assert len(out.collect()) == 1
+        ran = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, was)
+    assert "Broadcast" not in ran and "isFinalPlan=true" in ran and ran.count("SortMergeJoin") >= 2
